@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import copies, neighbours, pairs
+from tessaline.llm import copies, neighbours, pairs, tokens
 from tessaline.plans.registry import Registry
 from tessaline.runtime import table
 
@@ -82,3 +82,8 @@ SELECT DISTINCT least(id, other) AS memory_a, greatest(id, other) AS memory_b FR
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     found = neighbours.nearest(table(spark, base, "mif_memories"), "memory_id", F.col("embedding.vector"))
     return found.select(F.least("id", "other").alias("memory_a"), F.greatest("id", "other").alias("memory_b")).distinct()
+
+
+@REGISTRY.query("p8_ids")
+def p8_ids(spark: SparkSession, base: str) -> DataFrame:
+    return tokens.token_ids(table(spark, base, "documents"))
