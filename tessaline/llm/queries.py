@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import copies, neighbours, pairs, tokens
+from tessaline.llm import copies, neighbours, packing, pairs, splitting, tokens
 from tessaline.plans.registry import Registry
-from tessaline.runtime import table
+from tessaline.runtime import cut, table
 
 REGISTRY = Registry()
 
@@ -87,3 +87,22 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 @REGISTRY.query("p8_ids")
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokens.token_ids(table(spark, base, "documents"))
+
+
+def budgets(spark: SparkSession, base: str, purpose: str) -> list[tuple]:
+    """The sizes of a purpose: a table of a handful of rows that doesn't grow, checked here."""
+    rows = table(spark, base, "token_budgets").where(F.col("purpose") == purpose).orderBy("budget_name").limit(1_001).collect()
+    if len(rows) > 1_000:
+        raise ValueError("token_budgets has more rows than a parameter table may have")
+    return [(r.budget_name, r.capacity_tokens, r.overlap_tokens or 0) for r in rows]
+
+
+@REGISTRY.query("p9_containers")
+def p9_containers(spark: SparkSession, base: str) -> DataFrame:
+    sized = cut(tokens.with_token_counts(table(spark, base, "documents").select("doc_id", "text")).select("doc_id", "n_tokens"))
+    return packing.pack(sized, "doc_id", "n_tokens", [b[:2] for b in budgets(spark, base, "container")])
+
+
+@REGISTRY.query("p10_pieces")
+def p10_pieces(spark: SparkSession, base: str) -> DataFrame:
+    return splitting.split_texts(table(spark, base, "documents"), "doc_id", "text", budgets(spark, base, "piece"))

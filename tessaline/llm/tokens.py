@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -208,8 +209,6 @@ def token_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def with_token_counts(documents: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """`documents` with `n_tokens`; 0 for null and empty texts. The text itself isn't shuffled."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: len(encode(t, vocabulary)) if t else 0).astype("int32")
