@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import copies, neighbours, packing, pairs, splitting, tokens
+from tessaline.llm import copies, names, neighbours, packing, pairs, splitting, tokens
 from tessaline.plans.registry import Registry
 from tessaline.runtime import cut, table
 
@@ -106,3 +106,20 @@ def p9_containers(spark: SparkSession, base: str) -> DataFrame:
 @REGISTRY.query("p10_pieces")
 def p10_pieces(spark: SparkSession, base: str) -> DataFrame:
     return splitting.split_texts(table(spark, base, "documents"), "doc_id", "text", budgets(spark, base, "piece"))
+
+
+def mentions(spark: SparkSession, base: str) -> DataFrame:
+    """(table_name, row_id, spelling) of every text of an entity and every requested name."""
+    texts = table(spark, base, "mif_memories").select(F.lit("mif_memories").alias("table_name"), F.col("memory_id").alias("row_id"), F.explode("entities.text").alias("spelling"))
+    asked = table(spark, base, "find_entity_requests").select(
+        F.lit("find_entity_requests").alias("table_name"), F.col("request_id").cast("string").alias("row_id"), F.col("entity_name").alias("spelling")
+    )
+    return texts.unionByName(asked).where(F.col("spelling").isNotNull())
+
+
+@REGISTRY.query("p2_found")
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    rows = mentions(spark, base)
+    nodes = table(spark, base, "graph_entities").select("uuid", "entity_name", F.get("labels", F.lit(0)).alias("label"))
+    links = names.link(rows, nodes.where(F.col("label").isin("PERSON", "ORGANIZATION") & F.col("entity_name").isNotNull()))
+    return rows.distinct().join(links, "spelling").select("table_name", "row_id", "spelling", F.col("uuid").alias("entity_uuid"))
