@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.tokens import VOCABULARY, encode, encoding
+from tessaline.llm.tokens import VOCABULARY, encode_array, encoding
 
 #: Classes of characters that boundaries are made of.
 _BLANK, _LINE, _STOP, _WIDE_STOP, _CLAUSE, _WIDE_CLAUSE, _CLOSER, _LIST = range(1, 9)
@@ -42,10 +42,13 @@ for _kind, _chars in (
 REACH = 0.25
 
 
-def strengths(text: str) -> np.ndarray:
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("ascii"), np.uint8).astype(np.uint32) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def strengths(points: np.ndarray) -> np.ndarray:
     """The strength of ending a piece before each character: 6 after a blank line, 5 before a heading, list item, table row or
     fence, 4 after a line, 3 after a sentence, 2 after a clause, 1 after a word, 0 elsewhere."""
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     kind = np.concatenate([np.zeros(3, np.int8), _CLASSES[np.minimum(points, 0xFFFF)], [0]])
     here, one, two, three = kind[3:], kind[2:-1], kind[1:-2], kind[:-3]
     space = (here == _BLANK) | (here == _LINE)
@@ -62,10 +65,12 @@ def strengths(text: str) -> np.ndarray:
     return out
 
 
-def starts_of(text: str, ids: list[int], vocabulary: str) -> np.ndarray:
+def starts_of(text: str, ids: np.ndarray, vocabulary: str) -> np.ndarray:
     """For each token border the character it lies before, or -1 inside a character."""
-    lengths = token_lengths(vocabulary)[np.array(ids, int)] if len(ids) else np.zeros(0, int)
+    lengths = token_lengths(vocabulary)[ids]
     at = np.concatenate([[0], np.cumsum(lengths)])
+    if text.isascii():
+        return at
     raw = np.frombuffer(text.encode(), np.uint8)
     begins = np.concatenate([raw & 0xC0 != 0x80, [True]])
     index = np.concatenate([[0], np.cumsum(begins)])[:-1] if len(raw) else np.zeros(1, int)
@@ -73,15 +78,16 @@ def starts_of(text: str, ids: list[int], vocabulary: str) -> np.ndarray:
     return char[at]
 
 
-def borders(text: str, ids: list[int], vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def borders(text: str, ids: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token border its character and strength, -1 where it divides a character; and those that are certain borders of pre-tokens."""
     chars = starts_of(text, ids, vocabulary)
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    points = code_points(text)
     before = np.concatenate([[32], points[:-1]])
-    solid = (_CLASSES[np.minimum(before, 0xFFFF)] != _BLANK) & (_CLASSES[np.minimum(before, 0xFFFF)] != _LINE) & ((before < 0x1C) | (before > 0x1F))
+    kind = _CLASSES[np.minimum(before, 0xFFFF)]
+    solid = (kind != _BLANK) & (kind != _LINE) & ((before < 0x1C) | (before > 0x1F))
     sure = np.concatenate([((points == 32) | (points == 10)) & solid, [False]])
     certain = np.flatnonzero((chars >= 0) & sure[np.maximum(chars, 0)])
-    return chars, np.where(chars >= 0, strengths(text)[np.maximum(chars, 0)], -1), certain
+    return chars, np.where(chars >= 0, strengths(points)[np.maximum(chars, 0)], -1), certain
 
 
 def own_tokens(text: str, begin: int, end: int, chars: np.ndarray, certain: np.ndarray, vocabulary: str) -> int:
@@ -92,9 +98,9 @@ def own_tokens(text: str, begin: int, end: int, chars: np.ndarray, certain: np.n
     """
     a, b = np.searchsorted(certain, begin), np.searchsorted(certain, end, "right") - 1
     if b < a:
-        return len(encode(text[chars[begin] : chars[end]], vocabulary))
+        return len(encode_array(text[chars[begin] : chars[end]], vocabulary))
     first, last = int(certain[a]), int(certain[b])
-    edge = lambda x, y: len(encode(text[chars[x] : chars[y]], vocabulary)) if x < y else 0
+    edge = lambda x, y: len(encode_array(text[chars[x] : chars[y]], vocabulary)) if x < y else 0
     return edge(begin, first) + last - first + edge(last, end)
 
 
@@ -108,11 +114,11 @@ def token_lengths(vocabulary: str) -> np.ndarray:
     return _LENGTHS[vocabulary]
 
 
-def split(text: str, limit: int, overlap: int, vocabulary: str = VOCABULARY, ids: list[int] | None = None, known: tuple | None = None) -> list[tuple[int, int, int, int, int]]:
+def split(text: str, limit: int, overlap: int, vocabulary: str = VOCABULARY, ids: np.ndarray | None = None, known: tuple | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (first_token, end_token, first_char, end_char, strength of the end), in order."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be below the limit")
-    ids = encode(text, vocabulary) if ids is None else ids
+    ids = encode_array(text, vocabulary) if ids is None else ids
     n = len(ids)
     if n <= limit:
         return [(0, n, 0, len(text), 7)]
@@ -191,7 +197,7 @@ def split_texts(documents: DataFrame, id_col: str, text_col: str, budgets: list[
         for batch in batches:
             rows = []
             for i, text in zip(batch.id, batch.text, strict=True):
-                ids = encode(text, vocabulary) if text else []
+                ids = encode_array(text or "", vocabulary)
                 known = borders(text, ids, vocabulary) if any(len(ids) > b[1] for b in budgets) else None
                 for name, limit, overlap in budgets:
                     if text is None:

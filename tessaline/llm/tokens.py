@@ -56,6 +56,13 @@ def encode(text: str, vocabulary: str = VOCABULARY) -> list[int]:
     return encoding(vocabulary).encode_ordinary(text)
 
 
+def encode_array(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
+    """`encode`, without a Python object for each id."""
+    if not text:
+        return np.zeros(0, np.uint32)
+    return encoding(vocabulary).encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+
+
 def rolling(data: np.ndarray) -> np.ndarray:
     """At each byte the gear hash of the 32 bytes that end there, by doubling."""
     h = _TABLE[data]
@@ -133,10 +140,10 @@ def assemble(text: bytes, shared: list[dict], vocabulary: str = VOCABULARY) -> n
         start, end = piece["start"], piece["start"] + piece["size"]
         if start < at or xxhash.xxh3_128_digest(text[start:end]) != piece["h"]:
             continue
-        parts.append(np.array(encode(text[at : start + piece["head"]].decode(), vocabulary), np.int32))
+        parts.append(encode_array(text[at : start + piece["head"]].decode(), vocabulary).astype(np.int32))
         parts.append(np.frombuffer(piece["ids"], np.uint16).astype(np.int32))
         at = start + piece["tail"]
-    parts.append(np.array(encode(text[at:].decode(), vocabulary), np.int32))
+    parts.append(encode_array(text[at:].decode(), vocabulary).astype(np.int32))
     return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
@@ -183,7 +190,7 @@ def token_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 hashes.append(h)
                 heads.append(head)
                 tails.append(head + len(inner.encode()))
-                ids.append(np.array(encode(inner, vocabulary), np.uint16).tobytes())
+                ids.append(encode_array(inner, vocabulary).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes, pa.binary()), pa.array(heads, pa.int32()), pa.array(tails, pa.int32()), pa.array(ids, pa.binary())],
                 ["h", "head", "tail", "ids"],
@@ -197,7 +204,7 @@ def token_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             out = []
             for text, pieces_here in zip(batch.column("text").to_pylist(), batch.column("shared").to_pylist(), strict=True):
-                out.append(assemble(text.encode(), pieces_here or [], vocabulary) if pieces_here else np.array(encode(text, vocabulary), np.int32))
+                out.append(assemble(text.encode(), pieces_here or [], vocabulary) if pieces_here else encode_array(text, vocabulary).astype(np.int32))
             lengths = np.array([0, *(len(x) for x in out)])
             values = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), values)
@@ -211,6 +218,6 @@ def with_token_counts(documents: DataFrame, text_col: str = "text", vocabulary:
     """`documents` with `n_tokens`; 0 for null and empty texts. The text itself isn't shuffled."""
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: len(encode(t, vocabulary)) if t else 0).astype("int32")
+        return texts.map(lambda t: len(encode_array(t, vocabulary)) if t else 0).astype("int32")
 
     return documents.withColumn("n_tokens", count(F.coalesce(F.col(text_col), F.lit(""))))
