@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import copies, names, neighbours, packing, pairs, splitting, tokens
+from tessaline.llm import copies, names, neighbours, packing, pairs, pii, splitting, tokens
 from tessaline.plans.registry import Registry
 from tessaline.runtime import cut, table
 
@@ -123,3 +123,32 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     nodes = table(spark, base, "graph_entities").select("uuid", "entity_name", F.get("labels", F.lit(0)).alias("label"))
     links = names.link(rows, nodes.where(F.col("label").isin("PERSON", "ORGANIZATION") & F.col("entity_name").isNotNull()))
     return rows.distinct().join(links, "spelling").select("table_name", "row_id", "spelling", F.col("uuid").alias("entity_uuid"))
+
+
+def known_names(spark: SparkSession, base: str) -> pii.Names:
+    """The name lexicon of the entity table, of which a lexicon may have 100,000 rows: checked, as it travels with the tasks."""
+    rows = table(spark, base, "graph_entities").select("entity_name", F.get("labels", F.lit(0)).alias("label")).where("entity_name is not null").limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("build the name lexicon from a list of names, not from a table of this size")
+    return pii.Names.of([(r.entity_name, r.label) for r in rows])
+
+
+_P1_TABLES = (("remember_requests", "memory_id"), ("smoke_corpus", "id"))
+
+
+@REGISTRY.query("p1_found")
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    names_known, out = known_names(spark, base), None
+    for name, key in _P1_TABLES:
+        found = pii.found_items(table(spark, base, name), key, "content", names_known).withColumn("table_name", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out.select("table_name", "row_id", "kind", "start_pos").distinct()
+
+
+@REGISTRY.query("p1_redacted")
+def p1_redacted(spark: SparkSession, base: str) -> DataFrame:
+    names_known, out = known_names(spark, base), None
+    for name, key in _P1_TABLES:
+        rows = pii.annotate(table(spark, base, name), key, "content", names_known).withColumn("table_name", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("table_name", "row_id", "redacted", F.size("items").alias("n_items")).distinct()
