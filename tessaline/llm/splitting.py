@@ -15,7 +15,9 @@ put together give the text again.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -78,14 +80,33 @@ def starts_of(text: str, ids: np.ndarray, vocabulary: str) -> np.ndarray:
     return char[at]
 
 
+_OTHER, _SPACE, _LETTER, _NUMBER, _MARK = range(5)
+
+
+@lru_cache(maxsize=1)
+def _sorts() -> np.ndarray:
+    """What the tokenizer's pattern takes each character of the first plane for; apostrophes and later planes are left open."""
+    table = np.zeros(0x10000, np.int8)
+    for c in range(0xFFFF):
+        category = unicodedata.category(chr(c))
+        if chr(c).isspace():
+            table[c] = _SPACE if c in (10, 32) else _OTHER
+        elif category[0] in "LN":
+            table[c] = _LETTER if category[0] == "L" else _NUMBER
+        elif category[0] in "PS" and c != 39:
+            table[c] = _MARK
+    return table
+
+
 def borders(text: str, ids: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token border its character and strength, -1 where it divides a character; and those that are certain borders of pre-tokens."""
     chars = starts_of(text, ids, vocabulary)
     points = code_points(text)
-    before = np.concatenate([[32], points[:-1]])
-    kind = _CLASSES[np.minimum(before, 0xFFFF)]
-    solid = (kind != _BLANK) & (kind != _LINE) & ((before < 0x1C) | (before > 0x1F))
-    sure = np.concatenate([((points == 32) | (points == 10)) & solid, [False]])
+    kind = _sorts()[np.minimum(points, 0xFFFF)]
+    before = np.concatenate([[_OTHER], kind[:-1]])
+    ends = ((before == _LETTER) & (kind != _LETTER)) | ((before == _NUMBER) & (kind != _NUMBER))
+    ends |= (before == _MARK) & ((kind == _LETTER) | (kind == _NUMBER) | (kind == _SPACE))
+    sure = np.concatenate([ends, [False]])
     certain = np.flatnonzero((chars >= 0) & sure[np.maximum(chars, 0)])
     return chars, np.where(chars >= 0, strengths(points)[np.maximum(chars, 0)], -1), certain
 
