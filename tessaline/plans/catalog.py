@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaline.plans import problems
+from tessaline.plans import memories, problems
 from tessaline.plans.registry import Registry
 
-MODULES = (problems,)
+MODULES = (problems, memories)
 
 
 def registry() -> Registry:
