@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaline.plans import analytics, memories, problems
+from tessaline.plans import analytics, flows, memories, problems
 from tessaline.plans.registry import Registry
 
-MODULES = (problems, memories, analytics)
+MODULES = (problems, memories, analytics, flows)
 
 
 def registry() -> Registry:
