@@ -58,19 +58,19 @@ def x08_day_parts(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "events").groupBy(part.alias("part")).agg(F.count("*").alias("n"))
 
 
-@REGISTRY.query("v01_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id = 1 AND a.vec_id <> 1")
+@REGISTRY.query("v01_cosine", "SELECT a.vec_id, b.vec_id AS query_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id")
 def v01_cosine(spark: SparkSession, base: str) -> DataFrame:
     e = table(spark, base, "embeddings")
-    q = e.where("vec_id = 1").select(F.col("embedding").alias("q"))
-    return e.where("vec_id <> 1").crossJoin(F.broadcast(q)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return e.join(q, F.col("vec_id") != F.col("query_id")).select("vec_id", "query_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
 
 
 @REGISTRY.query("k01_cosine_top", """
-SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id IN (1, 2, 3) AND e.vec_id <> q.vec_id
+SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id
 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, e.vec_id) <= 10""")
 def k01_cosine_top(spark: SparkSession, base: str) -> DataFrame:
     e = table(spark, base, "embeddings")
-    q = e.where("vec_id in (1, 2, 3)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return retrieval.cosine_top(e, q, "vec_id", "embedding", 10).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -94,7 +94,7 @@ def v17_nearest_centroid(spark: SparkSession, base: str) -> DataFrame:
 
 _BM25 = r"""
 WITH d AS (SELECT id, list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda w: w <> '') AS t FROM smoke_corpus),
-q AS (SELECT request_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(query_text), '[^a-z0-9]+'), lambda w: w <> ''))) AS term FROM recall_requests WHERE request_id <= 40),
+q AS (SELECT request_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(query_text), '[^a-z0-9]+'), lambda w: w <> ''))) AS term FROM recall_requests WHERE request_id % 50 = 0),
 size AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d),
 p AS (SELECT id, len(t) AS length, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
@@ -103,8 +103,8 @@ lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sc
 
 
 def _asked(spark: SparkSession, base: str) -> DataFrame:
-    """The forty queries of the session that the report is about."""
-    return table(spark, base, "recall_requests").where("request_id <= 40").select(F.col("request_id").alias("query_id"), F.col("query_text"))
+    """The set of searches: every fiftieth request, against all records."""
+    return table(spark, base, "recall_requests").where("request_id % 50 = 0").select(F.col("request_id").alias("query_id"), F.col("query_text"))
 
 
 @REGISTRY.query("r06_bm25", _BM25 + " SELECT query_id, id, rank FROM lexical WHERE rank <= 5")
@@ -257,7 +257,7 @@ def b01_assignment(spark: SparkSession, base: str) -> DataFrame:
 
 
 @REGISTRY.query("m06_metrics", _BM25 + """, g AS (
-  SELECT request_id AS query_id, id AS item, 1 + (length(content) % 3) AS grade FROM recall_requests JOIN smoke_corpus ON lower(left(query_text, 24)) = lower(left(content, 24)) WHERE request_id <= 40
+  SELECT request_id AS query_id, id AS item, 1 + (length(content) % 3) AS grade FROM recall_requests JOIN smoke_corpus ON lower(left(query_text, 24)) = lower(left(content, 24)) WHERE request_id % 50 = 0
 ), i AS (SELECT query_id, count(*) AS g, sum(CASE WHEN r <= 10 THEN grade / log2(r + 1.0) END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, item) AS r FROM g) GROUP BY 1),
 h AS (SELECT l.query_id, rank, grade, row_number() OVER (PARTITION BY l.query_id ORDER BY rank) AS hits FROM lexical l JOIN g ON g.query_id = l.query_id AND g.item = l.id WHERE rank <= 10),
 per AS (SELECT query_id, count(*) AS h, min(rank) AS first, sum(hits / rank::DOUBLE) AS ap, sum(grade / log2(rank + 1.0)) AS dcg FROM h GROUP BY 1)
@@ -311,12 +311,12 @@ def t12_late_rows(spark: SparkSession, base: str) -> DataFrame:
 
 
 @REGISTRY.query("w02_mode_ranks", """
-WITH m AS (SELECT DISTINCT ON (memory_id) * FROM remember_requests WHERE user_id = 'agent-primary' AND created_at IS NOT NULL),
-r AS (SELECT memory_id, importance, row_number() OVER (ORDER BY created_at DESC, memory_id) AS a, row_number() OVER (ORDER BY importance DESC, memory_id) AS b FROM m)
-SELECT memory_id, round(0.7 * (0.5 / (a - 1 + 1) + 0.2 / (b - 1 + 1)) + 0.3 * importance::DOUBLE, 6) AS score FROM r""")
+WITH m AS (SELECT DISTINCT ON (memory_id) * FROM remember_requests WHERE created_at IS NOT NULL),
+r AS (SELECT memory_id, importance, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, memory_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC NULLS LAST, memory_id) AS b FROM m)
+SELECT memory_id, round(0.7::DOUBLE * (0.5::DOUBLE / a + 0.2::DOUBLE / b) + 0.3::DOUBLE * importance::DOUBLE, 6) AS score FROM r""")
 def w02_mode_ranks(spark: SparkSession, base: str) -> DataFrame:
-    """One user's modes: a partition of the user's rows, so users are ranked in parallel when all are asked for."""
-    rows = memories(spark, base).where("user_id = 'agent-primary' and created_at is not null").select("user_id", "memory_id", "created_at", "importance")
-    rank = lambda c: F.row_number().over(W.partitionBy("user_id").orderBy(c.desc(), "memory_id"))
+    """Each user's memories by recency and by importance, fused by rank."""
+    rows = memories(spark, base).where("created_at is not null").select("user_id", "memory_id", "created_at", "importance")
+    rank = lambda c: F.row_number().over(W.partitionBy("user_id").orderBy(c.desc_nulls_last(), "memory_id"))
     fused = 0.5 / rank(F.col("created_at")) + 0.2 / rank(F.col("importance"))
     return rows.select("memory_id", F.round(0.7 * fused + 0.3 * F.col("importance").cast("double"), 6).alias("score"))

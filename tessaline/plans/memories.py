@@ -234,10 +234,10 @@ def n06_kinds(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "remember_requests").select("memory_id", "content").distinct().select("memory_id", text.kind(F.col("content")).alias("kind"))
 
 
-@REGISTRY.query("n10_hashes", "SELECT id, sha256(content) AS exact, sha256(trim(regexp_replace(lower(content), '\\s+', ' ', 'g'))) AS normalised, ceil(octet_length(encode(content)) / 4.0)::BIGINT AS tokens FROM smoke_corpus WHERE regexp_full_match(content, '[\\x00-\\x7f]*')")
+@REGISTRY.query("n10_hashes", "SELECT id, sha256(content) AS exact, sha256(trim(regexp_replace(lower(content), '\\s+', ' ', 'g'), ' ')) AS normalised, ceil(octet_length(encode(content)) / 4.0)::BIGINT AS tokens FROM smoke_corpus WHERE content IS NOT NULL")
 def n10_hashes(spark: SparkSession, base: str) -> DataFrame:
     c = F.col("content")
-    return table(spark, base, "smoke_corpus").where(c.rlike(r"^[\x00-\x7f]*\z")).select("id", text.content_hash(c).alias("exact"), text.normalised_hash(c).alias("normalised"), text.token_estimate(c).alias("tokens"))
+    return table(spark, base, "smoke_corpus").where("content is not null").select("id", text.content_hash(c).alias("exact"), text.normalised_hash(c).alias("normalised"), text.token_estimate(c).alias("tokens"))
 
 
 @REGISTRY.query("n25_polarity", "SELECT id, len(list_filter(string_split_regex(lower(content), '[^a-z'']+'), lambda w: w IN ('not','no','never','none','neither','nor','cannot','without','nothing','nobody') OR ends_with(w, 'n''t'))) % 2 = 0 AS positive FROM smoke_corpus WHERE content IS NOT NULL")
