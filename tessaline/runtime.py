@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +28,17 @@ def session(name: str = "tessaline", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def reach(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where it lies; on machines without that folder, ship it with --py-files."""
+    home, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (home, known) if x)
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The parquet table `name` under `base`; columns and filters reach the scan."""
+    reach(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
