@@ -49,13 +49,13 @@ NICKNAMES = {
 }
 #: Usual abbreviations that are no prefix of their word; prefixes and words without vowels are found by rule.
 SHORT = {
-    "ltd": "limited", "intl": "international", "int": "international", "dept": "department", "inc": "incorporated", "co": "company", "rsrch": "research",
+    "ltd": "limited", "intl": "international", "int": "international", "dept": "department", "inc": "incorporated", "co": "company", "rsrch": "research", "robots": "robotics",
     "tech": "technologies", "assn": "association", "assoc": "association", "fdn": "foundation", "fnd": "foundation", "mgmt": "management",
     "labs": "laboratories", "univ": "university", "inst": "institute", "coop": "cooperative", "eng": "engineering", "engr": "engineering", "sys": "systems",
     "log": "logistics", "logist": "logistics", "svy": "survey", "surv": "survey", "mem": "memory", "ag": "aktiengesellschaft", "corp": "corporation", "natl": "national",
 }
-TITLES = frozenset("dr mr mrs ms miss mx prof professor sir dame herr frau fr hr mme mlle sr sra srta dipl ing phd md".split())
-_ARTICLE = regex.compile(r"^\W*the[\s_\-]+", regex.I)
+TITLES = frozenset("dr mr mrs ms miss mx prof professor sir dame herr frau fr hr mme mlle sr sra srta dipl phd md".split())
+_ARTICLE = regex.compile(r"^\W*the(?:[\s_\-]+|\.(?=\p{L}))", regex.I)
 _LOOKS = str.maketrans("0135$@", "olessa")
 _DIGRAPHS = {"ö": "oe", "ä": "ae", "ü": "ue", "ø": "oe", "å": "aa", "æ": "ae", "œ": "oe", "ß": "ss"}
 _PLAIN = {"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "ł": "l", "đ": "d", "ı": "i"}
@@ -112,8 +112,10 @@ def person_forms(name: str, nicknames: dict[str, str]) -> dict[tuple[str, str, s
         short = [(n, 1) for n in nicknames.get(fold(name.split()[0]), "").split()]
         for g, cost in [*short, (given[:3], 2), (given[:4], 2), (given[0], 3)]:
             if g != given:
-                add(g, family, cost, 0)
-                add(family, g, cost, 1)
+                # A nickname is long enough for a slip from four letters on.
+                loose = cost == 1 and len(g) >= 4
+                add(g, family, cost, -1 if loose else 0)
+                add(family, g, cost, -1 if loose else 1)
         if len(parts) == 3:
             for part in parts[1:]:
                 add(given, part, 2)
