@@ -54,7 +54,7 @@ SHORT = {
     "labs": "laboratories", "univ": "university", "inst": "institute", "coop": "cooperative", "eng": "engineering", "engr": "engineering", "sys": "systems",
     "log": "logistics", "logist": "logistics", "svy": "survey", "surv": "survey", "mem": "memory", "ag": "aktiengesellschaft", "corp": "corporation", "natl": "national",
 }
-TITLES = frozenset("dr mr mrs ms miss mx prof professor sir dame herr frau fr hr mme mlle sr sra srta dipl phd md".split())
+TITLES = frozenset("dr mr mrs ms miss mx prof professor sir dame herr frau fr hr mme mlle sr sra srta dipl ing phd md".split())
 _ARTICLE = regex.compile(r"^\W*the(?:[\s_\-]+|\.(?=\p{L}))", regex.I)
 _LOOKS = str.maketrans("0135$@", "olessa")
 _DIGRAPHS = {"ö": "oe", "ä": "ae", "ü": "ue", "ø": "oe", "å": "aa", "æ": "ae", "œ": "oe", "ß": "ss"}
@@ -235,7 +235,9 @@ class Lexicon:
 
     def bare(self, spelling: str) -> list[str]:
         parts = words(spelling)
-        return [w for w in parts if w not in TITLES] or parts
+        rest = [w for w in parts if w not in TITLES]
+        # Before a single word a title is a short given name: "Ing." is an engineer or Ingrid.
+        return rest if len(rest) > 1 or len(parts) == 1 else parts
 
     def keys(self, spelling: str) -> dict[str, int]:
         """The typed name's keys -> what was done to it: 0 nothing, 1 middle initials left out, or abbreviations expanded."""
