@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.functions.vectors import cosine
+from tessaline.functions.vectors import dot, normalised
 from tessaline.operators.ranking import top_per_group
 
 K1, B = 1.2, 0.75
@@ -48,9 +48,15 @@ def bm25(documents: DataFrame, queries: DataFrame, key: str = "doc_id", text: st
 
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query_id, key, similarity, rank) for a handful of query vectors, a parameter of the query, by one scan."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).where(F.col(key) != F.col("query_id"))
-    scored = pairs.select("query_id", key, cosine(F.col(vector), F.col("query_vector")).alias("similarity"))
+    """(query_id, key, similarity, rank) of each query vector's k best, by one scan; zero vectors score 0.
+
+    The queries are a block of a stated set that a task can hold; callers with more ask block by block.
+    """
+    # Each vector is normalised once, before it meets the queries.
+    units = vectors.select(key, normalised(F.col(vector)).alias("_u"))
+    asked = queries.select("query_id", normalised(F.col("query_vector")).alias("_q"))
+    pairs = units.repartition(key).join(F.broadcast(asked), F.col(key) != F.col("query_id"))
+    scored = pairs.select("query_id", key, dot(F.col("_u"), F.col("_q")).alias("similarity"))
     return top_per_group(scored.withColumn("_s", F.round("similarity", 9)), ["query_id"], [F.col("_s").desc(), F.col(key)], k).drop("_s")
 
 
