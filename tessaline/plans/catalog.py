@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaline.plans import analytics, flows, knowledge, memories, problems
+from tessaline.plans import analytics, flows, knowledge, memories, problems, surfaces
 from tessaline.plans.registry import Registry
 
-MODULES = (problems, memories, analytics, flows, knowledge)
+MODULES = (problems, memories, analytics, flows, knowledge, surfaces)
 
 
 def registry() -> Registry:
