@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaline.llm.names import NICKNAMES, Lexicon, fold
+from tessaline.llm.spread import spread
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 LONGEST = 160
@@ -520,7 +521,7 @@ def annotate(rows: DataFrame, id_col: str, text_col: str, names: Names, weights:
             })
 
     small = rows.select(F.col(id_col).cast("string").alias("row_id"), F.col(text_col).alias("text"))
-    return small.mapInPandas(find, "row_id string, redacted string, items array<struct<kind:string,start_pos:bigint,end_pos:bigint>>")
+    return spread(small).mapInPandas(find, "row_id string, redacted string, items array<struct<kind:string,start_pos:bigint,end_pos:bigint>>")
 
 
 def found_items(rows: DataFrame, id_col: str, text_col: str, names: Names, weights: dict[str, float] | None = None) -> DataFrame:
@@ -533,4 +534,4 @@ def found_items(rows: DataFrame, id_col: str, text_col: str, names: Names, weigh
             yield pd.DataFrame(out, columns=["row_id", "kind", "start_pos"])
 
     small = rows.select(F.col(id_col).cast("string").alias("row_id"), F.col(text_col).alias("text")).where("text is not null and row_id is not null")
-    return small.mapInPandas(find, "row_id string, kind string, start_pos long")
+    return spread(small).mapInPandas(find, "row_id string, kind string, start_pos long")

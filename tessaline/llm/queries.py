@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaline.llm import copies, names, neighbours, packing, pairs, pii, splitting, tokens
+from tessaline.llm.spread import spread
 from tessaline.plans.registry import Registry
 from tessaline.runtime import cut, table
 
@@ -99,7 +100,7 @@ def budgets(spark: SparkSession, base: str, purpose: str) -> list[tuple]:
 
 @REGISTRY.query("p9_containers")
 def p9_containers(spark: SparkSession, base: str) -> DataFrame:
-    sized = cut(tokens.with_token_counts(table(spark, base, "documents").select("doc_id", "text")).select("doc_id", "n_tokens"))
+    sized = cut(tokens.with_token_counts(spread(table(spark, base, "documents").select("doc_id", "text"))).select("doc_id", "n_tokens"))
     return packing.pack(sized, "doc_id", "n_tokens", [b[:2] for b in budgets(spark, base, "container")])
 
 

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessaline.llm.spread import spread
 from tessaline.llm.tokens import VOCABULARY, encode_array, encoding
 
 #: Classes of characters that boundaries are made of.
@@ -230,4 +231,4 @@ def split_texts(documents: DataFrame, id_col: str, text_col: str, budgets: list[
 
     schema = f"budget_name string, id {kind}, piece_no int, first_token int, end_token int, boundary int, piece string"
     small = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return small.mapInPandas(cut_up, schema).withColumnRenamed("id", id_col)
+    return spread(small).mapInPandas(cut_up, schema).withColumnRenamed("id", id_col)
