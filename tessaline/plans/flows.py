@@ -41,7 +41,7 @@ def t05_stream_windows(spark: SparkSession, base: str) -> DataFrame:
 @REGISTRY.query("t02_stream_buffer")
 def t02_stream_buffer(spark: SparkSession, base: str) -> DataFrame:
     drained = sessions.buffered(incoming(spark, base).select("user_id", "memory_type", "content", "received_at"), sessions.Buffering(messages=20, seconds=3_600))
-    return sessions.run_to_end(drained, _folder(spark), "t02").groupBy("user_id", "reason").agg(F.count("*").alias("drains"), F.sum("messages").alias("messages"))
+    return sessions.drained_to_end(drained, _folder(spark), "t02").groupBy("user_id", "reason").agg(F.count("*").alias("drains"), F.sum("messages").alias("messages"))
 
 
 @REGISTRY.query("d15_hash_chain", """

@@ -1,12 +1,17 @@
 """Streams of memories: deduplicated, windowed, buffered per session.
 
 A session's buffer is drained when it holds enough messages, when a message of an urgent kind arrives, or when enough time has gone by
-in the messages' own clock; duplicates of a session are dropped by content hash, of which a bounded number of the newest is kept.
+in the messages' own clock; duplicates of a session are dropped by content hash, of which a bounded number of the newest is kept. What is
+still buffered when the input ends is drained with the reason "close" (`drained_to_end`).
 """
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import pandas as pd
@@ -49,15 +54,44 @@ DRAINED = "user_id string, reason string, messages int, first_at timestamp, last
 _STATE = "hashes array<string>, texts array<string>, first_at timestamp, last_at timestamp"
 
 
+#: Drained buffers handed on at once, rows of a sorted run read at once.
+_AT_ONCE = 1_000
+
+
+def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(memory_type, content, received_at, hash) by time, then hash: each batch is sorted and laid on disk, then all are merged."""
+    columns = ["memory_type", "content", "received_at", "hash"]
+
+    def run(file) -> Iterator[tuple]:
+        file.seek(0)
+        while rows := pickle.load(file):
+            yield from rows
+
+    def place(row: tuple) -> tuple:
+        return (True, 0, row[3]) if pd.isna(row[2]) else (False, row[2].value, row[3])
+
+    with ExitStack() as files:
+        runs = []
+        for b in batches:
+            rows = sorted(b[columns].itertuples(index=False, name=None), key=place)
+            file = files.enter_context(tempfile.TemporaryFile())
+            for i in range(0, len(rows), _AT_ONCE):
+                pickle.dump(rows[i : i + _AT_ONCE], file)
+            pickle.dump([], file)
+            runs.append(file)
+        yield from heapq.merge(*(run(f) for f in runs), key=place)
+
+
 def buffered(stream: DataFrame, rules: Buffering | None = None) -> DataFrame:
     """Drained buffers of each user's stream of (user_id, memory_type, content, received_at)."""
     rules = (rules or Buffering()).clamped()
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         hashes, texts, first, last = state.get if state.exists else ([], [], None, None)
-        hashes, texts, out = list(hashes), list(texts), []
-        seen = set(hashes)
-        rows = pd.concat(list(batches)).sort_values(["received_at", "hash"], kind="stable")
+        texts, out = list(texts), []
+        seen = dict.fromkeys(hashes)  # oldest first
+
+        columns = ["user_id", "reason", "messages", "first_at", "last_at", "text"]
 
         def drain(reason: str) -> None:
             nonlocal texts, first, last
@@ -65,11 +99,12 @@ def buffered(stream: DataFrame, rules: Buffering | None = None) -> DataFrame:
                 out.append((key[0], reason, len(texts), first, last, "\n".join(texts)))
             texts, first, last = [], None, None
 
-        for kind, content, at, h in zip(rows.memory_type, rows.content, rows.received_at, rows["hash"], strict=True):
+        for kind, content, at, h in in_order(batches):
             if h in seen:
                 continue
-            seen.add(h)
-            hashes.append(h)
+            seen[h] = None
+            if len(seen) > rules.remembered:
+                del seen[next(iter(seen))]
             if rules.seconds and first is not None and (at - first).total_seconds() >= rules.seconds:
                 drain("time")
             texts.append(content)
@@ -78,8 +113,11 @@ def buffered(stream: DataFrame, rules: Buffering | None = None) -> DataFrame:
                 drain("urgent")
             elif len(texts) >= rules.messages:
                 drain("count")
-        state.update((hashes[-rules.remembered :], texts, first, last))
-        yield pd.DataFrame(out, columns=["user_id", "reason", "messages", "first_at", "last_at", "text"])
+            if len(out) >= _AT_ONCE:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        state.update((list(seen), texts, first, last))
+        yield pd.DataFrame(out, columns=columns)
 
     hashed = stream.where("content is not null and user_id is not null").select("user_id", "memory_type", "content", "received_at", normalised_hash(F.col("content")).alias("hash"))
     return hashed.groupBy("user_id").applyInPandasWithState(step, DRAINED, _STATE, "append", GroupStateTimeout.NoTimeout)
@@ -96,3 +134,12 @@ def run_to_end(stream: DataFrame, folder: str, name: str, mode: str = "append")
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}.state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
+
+
+def drained_to_end(drained: DataFrame, folder: str, name: str) -> DataFrame:
+    """All drained buffers of a stream that has come to its end, those that were open then, read from its state, with the reason "close"."""
+    done = run_to_end(drained, folder, name)
+    state = drained.sparkSession.read.format("statestore").load(f"{folder}/{name}.state")
+    left = state.select("key.*", "value.groupState.*").where(F.size("texts") > 0)
+    closed = left.select("user_id", F.lit("close").alias("reason"), F.size("texts").alias("messages"), "first_at", "last_at", F.array_join("texts", "\n").alias("text"))
+    return done.unionByName(closed)
