@@ -31,10 +31,10 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, restart: float = 0.5, rounds: int = 10) -> DataFrame:
+def page_rank(edges: DataFrame, seeds: DataFrame, restart: float = 0.5, rounds: int = 10, tolerance: float | None = None) -> DataFrame:
     """(node, score) of personalised page rank over weighted edges (src, dst, weight); dangling mass is dropped.
 
-    `seeds` are (node, mass); masses are normalised.
+    `seeds` are (node, mass); masses are normalised. With a `tolerance` the rounds end when the scores change by less in all (L1).
     """
     total = F.sum("weight").over(W.partitionBy("src"))
     steps = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).withColumn("share", F.col("weight") / total).select("src", "dst", "share"))
@@ -42,6 +42,7 @@ def page_rank(edges: DataFrame, seeds: DataFrame, restart: float = 0.5, rounds:
     start = cut(seeds.crossJoin(F.broadcast(mass)).select("node", (F.col("mass") / F.col("m")).alias("base")))
     rank = start.select("node", F.col("base").alias("score"))
     for k in range(rounds):
+        before = rank
         flow = rank.join(steps, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
         rank = (
             flow.join(start, F.col("dst") == F.col("node"), "full_outer")
@@ -50,7 +51,14 @@ def page_rank(edges: DataFrame, seeds: DataFrame, restart: float = 0.5, rounds:
                 (restart * F.coalesce("base", F.lit(0.0)) + (1 - restart) * F.coalesce("flow", F.lit(0.0))).alias("score"),
             )
         )
-        if k % 4 == 3:
+        if tolerance is not None:
+            # Who has a score keeps one, so the last round's nodes are all among this one's.
+            rank = cut(rank.join(before.select("node", F.col("score").alias("was")), "node", "left"))
+            change = rank.agg(F.sum(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))))).first()[0]
+            rank = rank.select("node", "score")
+            if change is None or change < tolerance:
+                break
+        elif k % 4 == 3:
             rank = cut(rank)
     return rank
 

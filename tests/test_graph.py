@@ -1,6 +1,7 @@
 import random
 
 from tessaline.operators import graph, linkage
+from tessaline.plans import analytics
 
 
 def test_components_equal_union_find(spark):
@@ -44,6 +45,45 @@ def test_page_rank_keeps_mass_without_dead_ends(spark):
     assert abs(sum(rank.values()) - 1) < 1e-9 and rank["a"] > rank["b"] > rank["c"]
 
 
+def brute_rank(edges, seeds, rounds):
+    """Power iteration over dicts, ended when the scores change by less than 1e-6 in all; dangling mass is dropped."""
+    out: dict[str, float] = {}
+    for a, _, w in edges:
+        out[a] = out.get(a, 0) + w
+    base = {n: m / sum(seeds.values()) for n, m in seeds.items()}
+    rank = dict(base)
+    for k in range(rounds):
+        new = {n: 0.5 * m for n, m in base.items()}
+        for a, b, w in edges:
+            if a in rank:
+                new[b] = new.get(b, 0) + 0.5 * rank[a] * w / out[a]
+        change = sum(abs(s - rank.get(n, 0)) for n, s in new.items())
+        rank = new
+        if change < 1e-6:
+            return rank, k + 1
+    return rank, rounds
+
+
+def test_page_rank_converges(spark):
+    r = random.Random(9)
+    edges = [(f"n{r.randint(0, 20)}", f"n{r.randint(0, 25)}", float(r.randint(1, 5))) for _ in range(70)] + [("n0", "n1", 1.0), ("n1", "n0", 2.0)]
+    want, rounds = brute_rank(edges, {"n0": 1.0, "n3": 3.0}, 30)
+    assert 10 < rounds < 30
+    seeds = spark.createDataFrame([("n0", 1.0), ("n3", 3.0)], "node string, mass double")
+    rank = graph.page_rank(spark.createDataFrame(edges, "src string, dst string, weight double"), seeds, rounds=30, tolerance=1e-6)
+    got = {x.node: x.score for x in rank.collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[n] - s) < 1e-12 for n, s in want.items())
+
+
+def test_converged_rank_of_the_sales(spark, base):
+    edges, seeds = analytics._sales_graph(spark, base)
+    want, _ = brute_rank([tuple(x) for x in edges.select("src", "dst", "weight").collect()], {x.node: x.mass for x in seeds.collect()}, 30)
+    got = {x.node: x.score for x in analytics.g16_converged_rank(spark, base).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[n] - s) < 2e-9 for n, s in want.items())
+
+
 def test_linkage_separates_levels():
     patterns = [((3, 1), 40), ((2, 1), 15), ((0, 0), 900), ((0, 1), 200), ((1, 0), 60)]
     share, m, u = linkage.fit(patterns)
