@@ -1,4 +1,4 @@
-"""From repeated statements to facts: candidates, duplicates, clusters, contradictions, decay."""
+"""From repeated statements to facts: candidates, counts of equal sentences, contradictions, decay. Variants of a statement aren't clustered."""
 
 from __future__ import annotations
 
