@@ -9,7 +9,8 @@ each partition, a table as small as the number of partitions. Copies are counted
 Canonical form. Invisible characters (Unicode Cf, Cc) are dropped, letters are case-folded, white space, punctuation and
 symbols are dropped, except a point or comma between two digits and a minus directly before a digit that doesn't follow
 a letter or digit. A list of named fields (a JSON object, or `key=value` and `key: value` lists) becomes its sorted
-(key, value) pairs, each in this form.
+(key, value) pairs, each in this form; arrays and objects inside keep their structure. What begins like an object but isn't
+covered by its pairs is prose.
 
 Defined results: a null content or null id takes no part. Empty and blank contents are all the same record. Other
 columns don't matter, whatever their names. Texts of any length are compared whole.
@@ -45,12 +46,33 @@ def plain(text: str) -> str:
     return _DASHES.sub("-", "".join(_KEEP.findall(text)))
 
 
-def fields(text: str) -> list[tuple[str, str]] | None:
+def scalar(value: object) -> str:
+    return value if isinstance(value, str) else json.dumps(value)
+
+
+def valued(value: object) -> str:
+    """The form of a field's value: objects (tuples of pairs) and arrays in brackets, which `plain` never leaves."""
+    if isinstance(value, tuple):
+        return "{" + "\x1d".join(sorted(f"{plain(k)}\x1c{valued(v)}" for k, v in value)) + "}"
+    if isinstance(value, list):
+        return "[" + "\x1d".join(valued(v) for v in value) + "]"
+    return plain(scalar(value))
+
+
+def fields(text: str) -> list[tuple[str, object]] | None:
     """The named fields of a record that is a list of them, in order; None for prose."""
     text = _INVISIBLE.sub("", text).strip().strip(_ENDS)
     if text.startswith("{"):
+        try:
+            whole = json.loads(text, object_pairs_hook=tuple, parse_int=str, parse_float=str, parse_constant=str, strict=False)
+        except (ValueError, RecursionError):
+            whole = ()
+        if whole:
+            return list(whole)
         pairs = [(m["k"], m["v"] if m["v"] is not None else m["n"].strip()) for m in _JSON_PAIR.finditer(text)]
         if pairs:
+            if _JSON_PAIR.sub("", text).strip(" \t\r\n{},"):
+                return None
             try:
                 pairs = [(k, json.loads(f'"{v}"')) for k, v in pairs]
             except ValueError:
@@ -70,7 +92,7 @@ def canonical(text: str) -> str:
     named = fields(text)
     if named is None:
         return "t" + plain(text)
-    return "f" + "\x1f".join(sorted(f"{plain(k)}\x1e{plain(v)}" for k, v in named))
+    return "f" + "\x1f".join(sorted(f"{plain(k)}\x1e{valued(v)}" for k, v in named))
 
 
 def runs(records: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -13,6 +13,14 @@ def test_canonical():
         assert (copies.canonical(a) == copies.canonical(b)) is same, (a, b)
 
 
+def test_objects_are_compared_whole():
+    for a, b, same in [
+        ('{"a":"x","ids":[1]}', '{"a":"x","ids":[2]}', False), ('{"a":"x","ids":[1,2]}', '{"ids": [1, 2], "a": "X"}', True), ('{"ids":[1,2]}', '{"ids":[12]}', False),
+        ('{"a":{"b":1,"c":2}}', '{"a":{"c":2,"b":1}}', True), ('{"a":{"b":1}}', '{"a":{"b":2}}', False), ('{"a":1} and then', '{"a":1} or else', False), ('{"a":1.50,"b":null}', '{"b":null,"a":1.50}', True),
+    ]:
+        assert (copies.canonical(a) == copies.canonical(b)) is same, (a, b)
+
+
 def test_runs_equal_brute_force(spark):
     r = random.Random(2)
     rows = [(f"id{i:05}", "hot record" if i % 3 == 0 else f"text {r.randint(0, 200)}{r.choice(['', '.', ' !'])}") for i in range(3_000)]
