@@ -6,13 +6,18 @@ full name, the name without its legal form, the inverted name and the acronym. W
 of the entities' own vocabulary are expanded.
 
 Linking is a pigeonhole segment join. A form that may be k edits away (insert, delete, replace, or swap of neighbours) is cut into
-2k + 1 segments, as a swap can touch two; at least one is then intact in the typed name, shifted by at most k. The segments are an
-inverted index, the position-shifted substrings of the typed names look them up by an equi-join on (segment, number, form
-length), and banded edit distance verifies what meets. k is 0, 1 or 2 by the length of the form. Distinct spellings are
+k + 1 segments. If no swap crosses a border, one segment is intact in the typed name, shifted by at most k. A swap that does
+touches two, but by counting, some segment is then touched by nothing but one such swap; so each place is looked up as it stands and, where a swap
+is left, with its outer letter taken from beyond the border. The segments are an inverted index, joined by (form length, number, segment), and
+banded edit distance verifies what meets. k is 0, 1 or 2 by the length of the form.
+
+Everything about entities is a table: forms and segments are made where the entities lie, the vocabulary is joined to the typed words, and a table is
+broadcast only if its counted rows are few. The result is the same for any number of entities. Distinct spellings are
 linked once, however often they occur, so a name that a third of the records hold is one row until the last join.
 
-Of the verified entities the one with the fewest edits and plainest form wins; a spelling that fits two entities equally well refers to neither,
-and so does one whose family name is itself a regular family name, other than the entity's, of the entities' own name parts.
+Of the verified entities the one with the fewest edits and plainest form wins; a spelling that fits two entities equally well refers to neither.
+A typed person who has another known given name than the entity is somebody else; so is one with a slip that recurs (`OTHERS`, `SHARE`): slips
+are rare and differ, names recur.
 
 Defined results: null and blank spellings refer to nothing; repeated spellings in a record give one row; an empty entity table gives
 none. Texts of any length are folded whole; only lengths that some form can reach are looked up.
@@ -21,7 +26,6 @@ none. Texts of any length are folded whole; only lengths that some form can reac
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,29 +34,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessaline.llm.given_names import NICKNAMES
 from tessaline.runtime import cut, parallelism
 
-#: Nicknames of given names in several languages; general knowledge, extended by a caller's own.
-NICKNAMES = {
-    "alexander": "alex sandy xander sasha lex al", "andrew": "andy drew", "anthony": "tony ant", "beatriz": "bea betty trix bia", "benjamin": "ben benji benny",
-    "charlotte": "charlie lottie lotte char", "dolores": "lola loli dolly", "eleanor": "ellie nell nora ella lena", "elizabeth": "liz beth lizzie betty eliza betsy libby lisa ellie",
-    "francisco": "paco pancho fran frank kiko", "guadalupe": "lupe lupita", "hedwig": "hedi hede wiggerl hedda", "henrike": "rike henni henny", "ingrid": "inga inge",
-    "isabella": "bella isa izzy", "johannes": "hans hannes jo johann jan", "jonathan": "jon john jonny nathan johnny", "josephine": "josie jo fina josefa sophie posy", "katherine": "kate kathy katie kat kit cathy",
-    "leandro": "leo lean", "lucinda": "lucy cindy lu", "ludovic": "ludo lou", "magdalena": "lena magda leni maggie", "margaret": "maggie meg peggy greta marge daisy madge",
-    "mathilde": "tilda tilly mathi thilde", "michael": "mike mick mikey micha mitch", "mireille": "mimi mireia", "nicholas": "nick nico klaus niklas nicky claus", "octavio": "tavo tavi",
-    "ottilie": "otti tilly tilli", "patricia": "pat trish patty tricia patsy", "philippa": "pippa pip phil", "quentin": "quin quent", "richard": "rick dick rich richie ricky",
-    "robert": "bob rob bobby robbie bert", "rosalind": "rosie ros linda roz rose", "rufus": "rufe ru", "sebastian": "seb basti bastian seba", "sieglinde": "linde siggi sigi linda",
-    "theodore": "ted theo teddy ned", "tomasz": "tomek tom tommy", "umberto": "berto umbe", "victoria": "vicky tori vic vicki", "viktor": "vik vic vitya", "wendell": "wen dell",
-    "william": "will bill billy liam willy wim", "xenia": "xen ksenia xeni", "yusuf": "yus joe yousef", "desiree": "desi dee", "dimitri": "dima mitya dimi", "kasimir": "kaz kazik kas",
-    "priya": "pri", "naoko": "nao", "oscar": "ossi osci", "jurgen": "jurg jorg", "bjorn": "bear", "cordula": "cora cordi", "soraya": "sora raya", "fatou": "fatoumata fatu",
-    "greta": "gretel gretchen", "anneke": "anne anni", "emeka": "chukwuemeka", "kofi": "", "ines": "agnes", "zoe": "", "cagla": "",
-}
-#: Usual abbreviations that are no prefix of their word; prefixes and words without vowels are found by rule.
+#: Usual abbreviations that are no prefix of their word; prefixes and words without vowels are found by rule. General usage in names of firms and institutions.
 SHORT = {
-    "ltd": "limited", "intl": "international", "int": "international", "dept": "department", "inc": "incorporated", "co": "company", "rsrch": "research", "robots": "robotics",
-    "tech": "technologies", "assn": "association", "assoc": "association", "fdn": "foundation", "fnd": "foundation", "mgmt": "management",
-    "labs": "laboratories", "univ": "university", "inst": "institute", "coop": "cooperative", "eng": "engineering", "engr": "engineering", "sys": "systems",
-    "log": "logistics", "logist": "logistics", "svy": "survey", "surv": "survey", "mem": "memory", "ag": "aktiengesellschaft", "corp": "corporation", "natl": "national",
+    "acad": "academy", "ag": "aktiengesellschaft", "agcy": "agency", "amer": "american", "assn": "association", "assoc": "association", "auth": "authority", "bros": "brothers", "bus": "business", "chem": "chemical",
+    "cmte": "committee", "cncl": "council", "co": "company", "coll": "college", "comm": "communications", "coop": "cooperative", "corp": "corporation", "ctr": "center", "dept": "department", "dev": "development",
+    "dist": "distribution", "ed": "education", "elec": "electric", "eng": "engineering", "engr": "engineering", "ent": "enterprises", "env": "environmental", "fdn": "foundation", "fed": "federal", "fin": "financial", "fnd": "foundation",
+    "govt": "government", "grp": "group", "hldgs": "holdings", "hosp": "hospital", "inc": "incorporated", "ind": "industries", "ins": "insurance", "inst": "institute", "int": "international", "intl": "international",
+    "inv": "investment", "labs": "laboratories", "lib": "library", "log": "logistics", "logist": "logistics", "ltd": "limited", "mach": "machinery", "med": "medical", "mem": "memory", "mfg": "manufacturing", "mgmt": "management",
+    "mktg": "marketing", "mtl": "materials", "mus": "museum", "natl": "national", "pharm": "pharmaceuticals", "proc": "processing", "prod": "products", "rd": "research", "robots": "robotics", "rsrch": "research", "sch": "school", "sci": "sciences",
+    "soc": "society", "surv": "survey", "svc": "service", "svcs": "services", "svy": "survey", "sys": "systems", "tech": "technologies", "telecom": "telecommunications", "trans": "transport", "univ": "university",
 }
 TITLES = frozenset("dr mr mrs ms miss mx prof professor sir dame herr frau fr hr mme mlle sr sra srta dipl ing phd md".split())
 _ARTICLE = regex.compile(r"^\W*the(?:[\s_\-]+|\.(?=\p{L}))", regex.I)
@@ -62,10 +55,12 @@ _PLAIN = {"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "ł": "l", "đ": "d", "
 _POSSESSIVE = regex.compile(r"['’`]s?$")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}$@]+(?:['’`][\p{L}\p{M}]+)*")
 
-#: Least lengths of a form for one and for two edits; a shorter one must be met exactly.
-ONE_EDIT, TWO_EDITS = 7, 11
-#: Index rows up to which the join is a broadcast (some 40 MB); a larger index is shuffled.
+#: Least lengths of a whole name for one edit, of any form for one, and for two; a shorter one must be met exactly.
+WHOLE_EDIT, ONE_EDIT, TWO_EDITS = 5, 7, 11
+#: Rows up to which a table of forms, segments or words is broadcast (some 40 MB); a larger one is shuffled.
 BROADCAST_ROWS = 400_000
+#: A slip is taken for another person's name if so many records have it, and so large a part of those that have the entity's own.
+OTHERS, SHARE = 5, 0.25
 
 
 def fold(word: str, digraphs: bool = False) -> str:
@@ -87,8 +82,9 @@ def skeleton(word: str) -> str:
     return word[:1] + regex.sub("[aeiou]", "", word[1:])
 
 
-def edits(length: int) -> int:
-    return 0 if length < ONE_EDIT else 1 if length < TWO_EDITS else 2
+def edits(length: int, cost: int = 0) -> int:
+    """How many edits a form of a length and cost (0: a whole name) may be away."""
+    return 0 if length < (ONE_EDIT if cost else WHOLE_EDIT) else 1 if length < TWO_EDITS else 2
 
 
 def person_forms(name: str, nicknames: dict[str, str]) -> dict[tuple[str, str, str], int]:
@@ -143,117 +139,25 @@ def organisation_forms(name: str) -> dict[tuple[str, str, str], int]:
     return out
 
 
-def recurring(families: set[str], reverse: bool) -> set[str]:
-    """Beginnings (ends, if reversed) of family names that several have, always beside a vowel, and beside different ones."""
-    beside: dict[str, list[str]] = defaultdict(list)
-    for f in families:
-        f = f[::-1] if reverse else f
-        for i in range(2, len(f) - 2):
-            beside[f[:i]].append(f[i])
-    found = {p for p, n in beside.items() if len(n) >= 5 and sum(c in "aeiouy" for c in n) >= 0.95 * len(n) and len(set(n)) >= 3}
-    return {p[::-1] if reverse else p for p in found}
-
-
-class Lexicon:
-    """What a table of entities says about names: its organisation words, and the parts of its family names."""
-
-    def __init__(self, entities: list[tuple[str, str, str]], nicknames: dict[str, str] | None = None):
-        self.nicknames = NICKNAMES | (nicknames or {})
-        self.entities = entities
-        self.org_words: set[str] = set()
-        self.given: set[str] = set()
-        families: set[str] = set()
-        for _, name, label in entities:
-            parts = words(name)
-            if label == "ORGANIZATION":
-                self.org_words.update(parts[1:])
-            elif label == "PERSON" and len(parts) > 1:
-                self.given.add(parts[0])
-                families.update(parts[1:])
-        self.families = families
-        self._expanded: dict[str, str] = {}
-        self._bones = {w: skeleton(w) for w in self.org_words if w}
-        self.begins, self.ends = recurring(families, False), recurring(families, True)
-        links: dict[str, int] = defaultdict(int)
-        for f in families:
-            for link in self._links(f):
-                links[link] += 1
-        self.links = {link for link, n in links.items() if 2 * n * 30 >= len(families)}
-
-    def _links(self, family: str) -> set[str]:
-        ends = [family[i:] for i in range(3, len(family) - 1) if family[i:] in self.ends]
-        return {
-            family[i : len(family) - len(e)]
-            for i in range(2, len(family) - 2)
-            if family[:i] in self.begins
-            for e in ends
-            if 0 < len(family) - len(e) - i <= 2
-        }
-
-    def regular(self, family: str) -> bool:
-        """Whether a family name is put together from a beginning, a link and an end that the entities' family names share."""
-        return family in self.families or bool(self._links(family) & self.links)
-
-    def expand(self, word: str) -> str:
-        """The organisation word that `word` abbreviates, or `word`."""
-        if word not in self._expanded:
-            self._expanded[word] = self._expand(word)
-        return self._expanded[word]
-
-    def _expand(self, word: str) -> str:
-        if word in self.org_words or len(word) < 2:
-            return word
-        if SHORT.get(word) in self.org_words:
-            return SHORT[word]
-        if len(word) >= 3 and word not in self.given:
-            longer = [w for w in self.org_words if w.startswith(word)]
-            if len(longer) == 1:
-                return longer[0]
-            near = {full for short, full in SHORT.items() if len(short) >= 4 and len(word) >= 4 and full in self.org_words and one_edit(word, short)}
-            if len(near) == 1 and not any(one_edit(word, w) for w in self.org_words):
-                return near.pop()
-            bones = skeleton(word)
-            bare = [w for w, b in self._bones.items() if b == word or (w[0] == word[0] and b == bones and len(word) < len(w) - 2)]
-            if len(bare) == 1:
-                return bare[0]
-        return word
-
-    def forms(self) -> list[tuple[str, str, str, int, int]]:
-        """(form, exact prefix, exact suffix, number of the entity, cost)"""
-        out = []
-        for number, (_, name, label) in enumerate(self.entities):
-            made = organisation_forms(name) if label == "ORGANIZATION" else person_forms(name, self.nicknames)
-            out += [(*form, number, cost) for form, cost in made.items()]
-        return out
-
-    def another(self, bare: list[str], entity: str) -> tuple[bool, bool]:
-        """Whether a typed person bears another of the known given names, and another regular family name, than the entity."""
-        own = words(entity) + words(entity, True)
-        long = [w for w in bare if len(w) > 1]
-        given = any(w in self.given and w not in own for w in long)
-        return given, any(w not in own and w not in self.given and self.regular(w) for w in long)
-
-    def bare(self, spelling: str) -> list[str]:
-        parts = words(spelling)
-        rest = [w for w in parts if w not in TITLES]
-        # Before a single word a title is a short given name: "Ing." is an engineer or Ingrid.
-        return rest if len(rest) > 1 or len(parts) == 1 else parts
-
-    def keys(self, spelling: str) -> dict[str, int]:
-        """The typed name's keys -> what was done to it: 0 nothing, 1 middle initials left out, or abbreviations expanded."""
-        bare = self.bare(spelling)
-        if not bare:
-            return {}
-        out = {"".join(bare): 0}
-        plain = [w for w in bare if w != "and"]
-        out.setdefault("".join(plain), 0)
-        expanded = [self.expand(w) for w in plain]
-        out.setdefault("".join(expanded), 0)
-        if len(bare) >= 3:
-            longer = [w for w in bare if len(w) > 1]
-            if len(longer) >= 2:
-                out.setdefault("".join(longer), 1)
-        return {k: v for k, v in out.items() if k}
+def bare(parts: list[str]) -> list[str]:
+    rest = [w for w in parts if w not in TITLES]
+    # Before a single word a title is a short given name: "Ing." is an engineer or Ingrid.
+    return rest if len(rest) > 1 or len(parts) == 1 else parts
+
+
+def keys(typed: list[str], full: dict[str, str]) -> dict[str, int]:
+    """The keys of typed words (without titles) -> what was done to them: 0 nothing or abbreviations expanded, 1 middle initials left out."""
+    if not typed:
+        return {}
+    out = {"".join(typed): 0}
+    plain = [w for w in typed if w != "and"]
+    out.setdefault("".join(plain), 0)
+    out.setdefault("".join(full.get(w, w) for w in plain), 0)
+    if len(typed) >= 3:
+        longer = [w for w in typed if len(w) > 1]
+        if len(longer) >= 2:
+            out.setdefault("".join(longer), 1)
+    return {k: v for k, v in out.items() if k}
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -267,32 +171,39 @@ def one_edit(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and x[:2] == y[1::-1] and x[2:] == y[2:])
 
 
+def borders(length: int) -> list[int]:
+    """The borders of the k + 1 even segments of a form of `length`."""
+    n = edits(length) + 1
+    return [round(i * length / n) for i in range(n + 1)]
+
+
 def segments(form: str) -> list[tuple[int, int, str]]:
-    """(number, start, text) of the 2k + 1 even segments of a form."""
-    n = 2 * edits(len(form)) + 1
-    at = [round(i * len(form) / n) for i in range(n + 1)]
-    return [(i, at[i], form[at[i] : at[i + 1]]) for i in range(n)]
+    """(number, start, text) of the segments of a form."""
+    at = borders(len(form))
+    return [(i, at[i], form[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
 
 
 def probes(key: str, lengths: set[int]) -> Iterator[tuple[int, int, str]]:
     """(form length, segment number, substring) for every place where a segment of a form within reach can stand in `key`."""
     for length in range(len(key) - 2, len(key) + 3):
-        k = edits(length)
+        k = edits(length) if length > 0 else 0
         apart = len(key) - length
         if length not in lengths or abs(apart) > k:
             continue
-        n = 2 * k + 1
-        at = [round(i * length / n) for i in range(n + 1)]
-        for i in range(n):
+        at = borders(length)
+        for i in range(k + 1):
             seen = set()
             for shift in range(-k, k + 1):
-                start, stop = at[i] + shift, at[i + 1] + shift
-                if abs(shift) + abs(apart - shift) > k or start < 0 or stop > len(key):
+                start, stop, left = at[i] + shift, at[i + 1] + shift, k - abs(shift) - abs(apart - shift)
+                if left < 0 or start < 0 or stop > len(key):
                     continue
-                piece = key[start:stop]
-                if piece not in seen:
-                    seen.add(piece)
-                    yield length, i, piece
+                seen.add(key[start:stop])
+                if left and i < k and stop < len(key):
+                    seen.add(key[start : stop - 1] + key[stop])
+                if left and i and start:
+                    seen.add(key[start - 1] + key[start + 1 : stop])
+            for piece in seen:
+                yield length, i, piece
 
 
 def distances(left: list[str], right: list[str], k: int = 2) -> np.ndarray:
@@ -348,10 +259,54 @@ def _matrix(strings: list[str]) -> np.ndarray:
     return np.frombuffer(joined.encode("utf-32-le"), np.uint32).reshape(len(strings), width)
 
 
-#: Entities put into one index; more are indexed block by block.
-BLOCK_ENTITIES = 100_000
-#: A regular family name is another person's, not a slip, if so many records have it and a quarter as many as have the entity's own.
-OTHERS = 3
+def _small(table: DataFrame) -> DataFrame:
+    """A cut table, marked for broadcast if its rows are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _map(rows: DataFrame, function, schema: str) -> DataFrame:
+    """`function` (row -> tuples of `schema`) over all rows, in batches."""
+    columns = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([x for row in b.itertuples(index=False, name=None) for x in function(*row)], columns=columns)
+
+    return rows.mapInPandas(run, schema)
+
+
+def variants(word: str) -> set[str]:
+    """The word and what is left after one deletion: words one edit apart share one of these."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def expansions(typed: DataFrame, vocabulary: DataFrame, given: DataFrame) -> DataFrame:
+    """(word, full) of each of the `typed` words that abbreviates one word of the organisations' `vocabulary`, all by joins on words.
+
+    In this order: a usual abbreviation, the beginning of just one word, a slip in a usual abbreviation, the consonants of just one word.
+    """
+    spark = typed.sparkSession
+    usual = spark.createDataFrame(list(SHORT.items()), "short string, full string")
+    known = F.broadcast(usual.join(vocabulary.withColumnRenamed("word", "full"), "full"))
+    fresh = cut(typed.where(F.length("word") >= 2).join(vocabulary, "word", "left_anti"))
+    direct = fresh.join(known, F.col("word") == F.col("short")).select("word", "full", F.lit(0).alias("way"))
+    longer = fresh.where(F.length("word") >= 3).join(given, "word", "left_anti")
+    prefixes = vocabulary.select(F.col("word").alias("full"), F.explode(F.sequence(F.lit(3), F.length("word") - 1)).alias("n")).where(F.col("n") >= 3)
+    alone = prefixes.groupBy(F.expr("left(full, n)").alias("word")).agg(F.min("full").alias("full"), F.count("*").alias("c")).where("c = 1")
+    begins = longer.join(alone, "word").select("word", "full", F.lit(1).alias("way"))
+    lapses = _map(longer.where(F.length("word") >= 4), lambda w: [(w, s) for s in SHORT if len(s) >= 4 and one_edit(w, s)], "word string, short string")
+    lapses = lapses.join(known, "short").groupBy("word").agg(F.min("full").alias("full"), F.countDistinct("full").alias("c")).where("c = 1")
+    cuts = lambda t: _map(t, lambda w: [(w, v) for v in variants(w)], "word string, variant string")
+    beside = cuts(lapses.select("word")).join(cuts(vocabulary).withColumnRenamed("word", "full"), "variant")
+    beside = _map(beside.select("word", "full").distinct(), lambda w, v: [(w,)] if one_edit(w, v) else [], "word string").distinct()
+    slips = lapses.join(beside, "word", "left_anti").select("word", "full", F.lit(2).alias("way"))
+    bones = lambda c: F.concat(F.left(c, F.lit(1)), F.regexp_replace(F.expr(f"substring({c}, 2)"), "[aeiou]", ""))
+    framed = vocabulary.select(F.col("word").alias("full"), bones("word").alias("frame"))
+    whole = longer.join(framed, F.col("word") == F.col("frame")).select("word", "full")
+    part = longer.withColumn("frame", bones("word")).join(framed, "frame").where(F.length("word") < F.length("full") - 2).select("word", "full")
+    bony = whole.union(part).groupBy("word").agg(F.min("full").alias("full"), F.countDistinct("full").alias("c")).where("c = 1").select("word", "full", F.lit(3).alias("way"))
+    every = direct.unionByName(begins).unionByName(slips).unionByName(bony)
+    return every.groupBy("word").agg(F.min_by("full", "way").alias("full"))
 
 
 def link(mentions: DataFrame, entities: DataFrame, nicknames: dict[str, str] | None = None) -> DataFrame:
@@ -359,101 +314,88 @@ def link(mentions: DataFrame, entities: DataFrame, nicknames: dict[str, str] | N
 
     `entities` has (uuid, entity_name, label), label PERSON or ORGANIZATION.
     """
-    spark = mentions.sparkSession
-    spellings = cut(mentions.where(F.col("spelling").isNotNull()).groupBy("spelling").agg(F.count("*").alias("times")))
-    blocks = max(1, -(-entities.count() // BLOCK_ENTITIES))
-    found = None
-    for block in range(blocks):
-        rows = entities.where(F.pmod(F.xxhash64("uuid"), F.lit(blocks)) == block).orderBy("uuid").collect()
-        part = _candidates(spellings, Lexicon([(r.uuid, r.entity_name, r.label) for r in rows], nicknames), spark)
-        found = part if found is None else found.unionByName(part)
-    found = cut(found)
+    spark, nick = mentions.sparkSession, NICKNAMES | (nicknames or {})
+    wide = max(2 * parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    entities = entities.select("uuid", "entity_name", "label").where("uuid is not null and entity_name is not null")
+
+    # What the entities say: their forms, and the words of their organisations and given names.
+    def forms_of(uuid: str, name: str, label: str) -> list[tuple]:
+        made = organisation_forms(name) if label == "ORGANIZATION" else person_forms(name, nick)
+        return [(uuid, name, label, *form, len(form[0]), cost, " ".join(sorted(words(name)))) for form, cost in made.items()]
+
+    def words_of(name: str, label: str) -> list[tuple]:
+        parts = words(name)
+        return [(w, True) for w in parts[1:] if w] if label == "ORGANIZATION" else [(parts[0], False)] if len(parts) > 1 else []
+
+    forms = _map(entities, forms_of, "uuid string, entity_name string, label string, form string, prefix string, suffix string, length int, kind int, own_key string")
+    forms = cut(forms.withColumn("f", F.monotonically_increasing_id()))
+    lengths = {r.length for r in forms.select("length").distinct().collect()}
+    vocabulary = cut(_map(entities.select("entity_name", "label"), words_of, "word string, firm boolean").distinct())
+    given = vocabulary.where("not firm").select("word")
+
+    # What is typed: distinct spellings, their words, and what is known of these words.
+    spellings = mentions.where(F.col("spelling").isNotNull()).groupBy("spelling").agg(F.count("*").alias("times"))
+    # Few bytes, much work a row: adaptive execution would put them into one partition.
+    typed = _map(spellings.repartition(wide, "spelling"), lambda s, n: [(s, n, bare(words(s)))], "spelling string, times long, typed array<string>")
+    typed = cut(typed.withColumn("key", F.array_join(F.array_sort("typed"), " ")))
+    met = cut(typed.select(F.explode("typed").alias("word")).distinct())
+    full = expansions(met, vocabulary.where("firm").select("word"), given)
+    known = cut(full.join(given.join(met, "word", "left_semi").withColumn("is_given", F.lit(True)), "word", "full_outer"))
+    noted = typed.select("spelling", F.explode(F.array_distinct("typed")).alias("word")).join(_small(known), "word")
+    noted = noted.groupBy("spelling").agg(F.collect_list(F.struct("word", "full", "is_given")).alias("known"))
+    about = typed.select("spelling", "typed", "key").join(noted, "spelling", "left").repartition(wide, "spelling")
+
+    def probe(spelling: str, parts, key: str, notes) -> Iterator[tuple]:
+        notes = [] if notes is None else list(notes)
+        names = " ".join(n["word"] for n in notes if n["is_given"])
+        for k, cost in keys(list(parts), {n["word"]: n["full"] for n in notes if n["full"]}).items():
+            for p in probes(k, lengths):
+                yield (spelling, key, names, k, cost, *p)
+
+    looked_up = _map(about, probe, "spelling string, key string, names string, typed string, cost int, length int, segment int, piece string")
+    index = _map(forms.select("f", "form"), lambda f, form: [(f, len(form), i, piece) for i, _, piece in segments(form)], "f long, length int, segment int, piece string")
+    met = looked_up.join(_small(cut(index)), ["length", "segment", "piece"]).select("spelling", "key", "names", "typed", "cost", "f")
+    pairs = met.join(_small(forms), "f")
+    schema = "spelling string, uuid string, entity_name string, cost int, edits int, suspect boolean, key string, own_key string"
+    found = cut(pairs.drop("f", "length").mapInPandas(verify, schema).distinct())
     # How often a suspicious name and the entity it resembles are met, as written without accents and order.
-    counted = found.where("suspect").select("key").union(found.where("suspect").select(F.col("own_key").alias("key"))).distinct()
-    folded = spellings.select(_key_of("spelling").alias("key"), "times").groupBy("key").agg(F.sum("times").alias("n"))
-    counted = cut(folded.join(counted, "key"))
+    asked = found.where("suspect").select("key").union(found.where("suspect").select(F.col("own_key").alias("key"))).distinct()
+    counted = cut(typed.join(asked, "key", "left_semi").groupBy("key").agg(F.sum("times").alias("n")))
     judged = (
         found.join(counted.withColumnRenamed("n", "n_key"), "key", "left")
         .join(counted.select(F.col("key").alias("own_key"), F.col("n").alias("n_own")), "own_key", "left")
-        .where(~(F.col("suspect") & (F.coalesce("n_key", F.lit(0)) >= OTHERS) & (F.coalesce("n_key", F.lit(0)) * 4 >= F.coalesce("n_own", F.lit(0)))))
+        .where(~(F.col("suspect") & (F.coalesce("n_key", F.lit(0)) >= OTHERS) & (F.coalesce("n_key", F.lit(0)) >= SHARE * F.coalesce("n_own", F.lit(0)))))
     )
     per_entity = judged.groupBy("spelling", "uuid").agg(F.min(F.struct("cost", "edits")).alias("best"), F.first("entity_name").alias("entity_name"))
-    ranked = per_entity.groupBy("spelling").agg(F.array_sort(F.collect_list(F.struct("best", "uuid", "entity_name"))).alias("c"))
-    first, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
-    clear = ranked.where((F.size("c") == 1) | (first["best"] < second["best"]))
-    return clear.where(first["entity_name"] != F.col("spelling")).select("spelling", first["uuid"].alias("uuid"))
+    level = per_entity.groupBy("spelling", "best").agg(F.count("*").alias("rivals"), F.min(F.struct("uuid", "entity_name")).alias("x"))
+    first = level.groupBy("spelling").agg(F.min(F.struct("best", "rivals", "x")).alias("c")).where("c.rivals = 1")
+    return first.where(F.col("c.x.entity_name") != F.col("spelling")).select("spelling", F.col("c.x.uuid").alias("uuid"))
 
 
-def _key_of(column: str):
-    @F.pandas_udf("string")
-    def key(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: " ".join(sorted(w for w in words(t) if w not in TITLES)))
-
-    return key(F.col(column))
-
-
-def _candidates(spellings: DataFrame, lexicon: Lexicon, spark) -> DataFrame:
-    forms = lexicon.forms()
-    lengths = {len(f[0]) for f in forms}
-    index: dict[tuple[int, int, str], list[int]] = defaultdict(list)
-    for number, form in enumerate(forms):
-        for i, _, piece in segments(form[0]):
-            index[len(form[0]), i, piece].append(number)
-    rows = [(*k, v) for k, v in index.items()]
-    pieces = spark.createDataFrame(pd.DataFrame(rows, columns=["length", "segment", "piece", "forms"]) if rows else [], "length int, segment int, piece string, forms array<int>")
-    if len(rows) <= BROADCAST_ROWS:
-        pieces = F.broadcast(pieces)
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for n, spelling in enumerate(b.spelling):
-                for key, cost in lexicon.keys(spelling).items():
-                    out += [(spelling, key, cost, *p) for p in probes(key, lengths)]
-            yield pd.DataFrame(out, columns=["spelling", "typed", "cost", "length", "segment", "piece"])
-
-    # Few bytes, much work a row: adaptive execution would put them into one partition.
-    wide = max(2 * parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    looked_up = spellings.select("spelling").repartition(wide, "spelling").mapInPandas(probe, "spelling string, typed string, cost int, length int, segment int, piece string")
-    met = looked_up.join(pieces, ["length", "segment", "piece"]).select("spelling", "typed", "cost", "forms")
-    letters = _histogram([f[0] for f in forms]) if forms else np.zeros((0, 32), np.int8)
-    texts = np.array([f[0] for f in forms], object)
-    limit = np.array([edits(len(f[0])) for f in forms])
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if b.empty:
-                continue
-            group, typed = pd.factorize(b.spelling + "\0" + b.typed)
-            size = b.forms.map(len).to_numpy()
-            who, form = np.repeat(group, size), np.concatenate(b.forms.to_numpy())
-            pair = np.unique(who.astype(np.int64) * (len(forms) + 1) + form)
-            who, form = pair // (len(forms) + 1), pair % (len(forms) + 1)
-            first = pd.Series(np.arange(len(b))).groupby(group).first().to_numpy()
-            keys = b.typed.to_numpy()[first]
-            mine = _histogram(list(keys))
-            near = np.abs(mine[who] - letters[form]).sum(1) <= 2 * limit[form]
-            who, form = who[near], form[near]
-            d = distances(list(keys[who]), list(texts[form]))
-            out = []
-            for w, f, k in zip(who[d <= limit[form]], form[d <= limit[form]], d[d <= limit[form]], strict=True):
-                text, prefix, suffix, entity, cost = forms[f]
-                key = keys[w]
-                if not (key.startswith(prefix) and key.endswith(suffix)):
-                    continue
-                uuid, name, label = lexicon.entities[entity]
-                spelling = b.spelling.iloc[first[w]]
-                given = family = False
-                bare = lexicon.bare(spelling)
-                if label == "PERSON" and k:
-                    given, family = lexicon.another(bare, name)
-                if given:
+def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs of a typed name and a form that are within the form's edits, with what speaks against them."""
+    columns = ["spelling", "uuid", "entity_name", "cost", "edits", "suspect", "key", "own_key"]
+    for b in batches:
+        b = b.drop_duplicates(["spelling", "typed", "uuid", "form", "prefix", "suffix"])
+        out = []
+        if len(b):
+            t, typed = pd.factorize(b.typed)
+            f, form = pd.factorize(b.form)
+            limit = np.array([edits(n, c) for n, c in zip(b.form.str.len(), b.kind, strict=True)])
+            near = np.abs(_histogram(list(typed))[t] - _histogram(list(form))[f]).sum(1) <= 2 * limit
+            b, t, f, limit = b[near], t[near], f[near], limit[near]
+            pair, back = np.unique(t.astype(np.int64) * len(form) + f, return_inverse=True)
+            d = distances([typed[p // len(form)] for p in pair], [form[p % len(form)] for p in pair])[back] if len(pair) else np.zeros(0, int)
+            for row, k in zip(b[d <= limit].itertuples(index=False), d[d <= limit].tolist(), strict=True):
+                if not (row.typed.startswith(row.prefix) and row.typed.endswith(row.suffix)):
                     continue
-                total = int(2 * k + cost + b.cost.iloc[first[w]])
-                out.append((spelling, uuid, name, total, int(k), family, " ".join(sorted(bare)), " ".join(sorted(words(name)))))
-            yield pd.DataFrame(out, columns=["spelling", "uuid", "entity_name", "cost", "edits", "suspect", "key", "own_key"])
-
-    return met.mapInPandas(verify, "spelling string, uuid string, entity_name string, cost int, edits int, suspect boolean, key string, own_key string").distinct()
+                if row.label == "PERSON" and k:
+                    own = set(words(row.entity_name) + words(row.entity_name, True))
+                    if any(len(w) > 1 and w not in own for w in row.names.split()):
+                        continue
+                suspect = row.label == "PERSON" and k > 0
+                out.append((row.spelling, row.uuid, row.entity_name, int(2 * k + row.kind + row.cost), int(k), suspect, row.key, row.own_key))
+        yield pd.DataFrame(out, columns=columns)
 
 
 def _histogram(strings: list[str]) -> np.ndarray:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaline.llm import copies, names, neighbours, packing, pairs, pii, splitting, tokens
-from tessaline.llm.spread import spread
+from tessaline.llm.spread import once, spread
 from tessaline.plans.registry import Registry
 from tessaline.runtime import cut, table
 
@@ -126,12 +126,9 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return rows.distinct().join(links, "spelling").select("table_name", "row_id", "spelling", F.col("uuid").alias("entity_uuid"))
 
 
-def known_names(spark: SparkSession, base: str) -> pii.Names:
-    """The name lexicon of the entity table, of which a lexicon may have 100,000 rows: checked, as it travels with the tasks."""
-    rows = table(spark, base, "graph_entities").select("entity_name", F.get("labels", F.lit(0)).alias("label")).where("entity_name is not null").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("build the name lexicon from a list of names, not from a table of this size")
-    return pii.Names.of([(r.entity_name, r.label) for r in rows])
+def known_names(spark: SparkSession, base: str):
+    """The names that the entity table lists."""
+    return pii.lexicon(spark, table(spark, base, "graph_entities").select("entity_name", F.get("labels", F.lit(0)).alias("label")))
 
 
 _P1_TABLES = (("remember_requests", "memory_id"), ("smoke_corpus", "id"))
@@ -150,6 +147,7 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
 def p1_redacted(spark: SparkSession, base: str) -> DataFrame:
     names_known, out = known_names(spark, base), None
     for name, key in _P1_TABLES:
-        rows = pii.annotate(table(spark, base, name), key, "content", names_known).withColumn("table_name", F.lit(name))
+        rows = pii.annotate(once(table(spark, base, name).select(key, "content"), key), key, "content", names_known)
+        rows = rows.select(F.lit(name).alias("table_name"), "row_id", "redacted", F.size("items").alias("n_items"))
         out = rows if out is None else out.unionByName(rows)
-    return out.select("table_name", "row_id", "redacted", F.size("items").alias("n_items")).distinct()
+    return out

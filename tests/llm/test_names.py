@@ -45,6 +45,8 @@ def test_pigeonhole_misses_nothing():
                 key.insert(i, r.choice("abcdef"))
             else:
                 key[i] = r.choice("abcdef")
+        if osa(form, "".join(key)) > names.edits(len(form)):
+            continue
         index = {(len(form), i, t) for i, _, t in names.segments(form)}
         assert index & set(names.probes("".join(key), {len(form)})), (form, key)
 
@@ -56,3 +58,25 @@ def test_links(spark):
     assert got == {s: u for s, u in CASES.items() if u}
     assert names.link(mentions, entities.limit(0)).count() == 0
     assert names.link(mentions.limit(0), entities).count() == 0
+
+
+def test_links_do_not_depend_on_other_entities_or_on_sizes(spark, base, monkeypatch):
+    """More entities that resemble none, other partitions, and joins without broadcasts change no link."""
+    mentions = spark.createDataFrame([(s,) for s in CASES], "spelling string")
+    more = [(f"x{i}", f"Qzx{i:04}vbn Wkq{i * 7:05}ghj", "PERSON") for i in range(300)]
+    want = {(s, u) for s, u in CASES.items() if u}
+    wide = spark.createDataFrame(NODES + more, "uuid string, entity_name string, label string").repartition(5)
+    assert {tuple(x) for x in names.link(mentions, wide).select("spelling", "uuid").collect()} == want
+    monkeypatch.setattr(names, "BROADCAST_ROWS", 0)
+    assert {tuple(x) for x in names.link(mentions.repartition(3), wide).select("spelling", "uuid").collect()} == want
+
+
+def test_recall_by_length():
+    """Random single slips are met by some probe at every length from WHOLE_EDIT on."""
+    r = random.Random(4)
+    for length in range(names.WHOLE_EDIT, 30):
+        for _ in range(40):
+            form = "".join(r.choice("abcdefghij") for _ in range(length))
+            i = r.randrange(length - 1)
+            key = r.choice([form[:i] + form[i + 1 :], form[:i] + r.choice("klm") + form[i:], form[:i] + "z" + form[i + 1 :], form[:i] + form[i + 1] + form[i] + form[i + 2 :]])
+            assert {(length, i, t) for i, _, t in names.segments(form)} & set(names.probes(key, {length}))
