@@ -343,7 +343,7 @@ def link(mentions: DataFrame, entities: DataFrame, nicknames: dict[str, str] | N
     known = cut(full.join(given.join(met, "word", "left_semi").withColumn("is_given", F.lit(True)), "word", "full_outer"))
     noted = typed.select("spelling", F.explode(F.array_distinct("typed")).alias("word")).join(_small(known), "word")
     noted = noted.groupBy("spelling").agg(F.collect_list(F.struct("word", "full", "is_given")).alias("known"))
-    about = typed.select("spelling", "typed", "key").join(noted, "spelling", "left").repartition(wide, "spelling")
+    about = typed.select("spelling", "typed", "key").join(noted, "spelling", "left").repartition(wide)
 
     def probe(spelling: str, parts, key: str, notes) -> Iterator[tuple]:
         notes = [] if notes is None else list(notes)

@@ -59,6 +59,7 @@ class Names:
         self.given, self.families = GIVEN | frozenset(given), frozenset(families)
         self._given: dict[str, bool] = {}
         self._family: dict[str, bool] = {}
+        self._lower: dict[str, bool] = {}
 
     @classmethod
     def of(cls, rows: list[tuple[str, str]]) -> Names:
@@ -81,8 +82,17 @@ class Names:
         return seen[word]
 
     def hints(self, low: set[str]) -> bool:
-        """Whether one of the lower-cased words is a known given name."""
-        return not self.given.isdisjoint(low) or any(not w.isascii() and self.is_given(w) for w in low)
+        """Whether one of the lower-cased words is a known given name, in lower case too (no common word)."""
+        return any(self.in_lower(w) for w in low if w in self.given or not w.isascii())
+
+    def in_lower(self, word: str) -> bool:
+        """Whether a word in lower case is taken for a known given name."""
+        known = self._lower.get(word)
+        if known is None:
+            if len(self._lower) > 200_000:
+                self._lower.clear()
+            known = self._lower[word] = self.is_given(word) and word not in common_words()
+        return known
 
 
 def name_words(name: str, label: str) -> list[tuple[str, str]]:
@@ -139,8 +149,8 @@ _IDS = {
 }
 _ID_SHAPES = {k: regex.compile(rf"(?<![\p{{L}}\p{{N}}_@+]|\p{{N}}[.,\-])(?:{p})(?![\p{{L}}\p{{N}}]|[\-]\p{{N}})", regex.I) for k, p in _IDS.items()}
 _ID_LABEL = regex.compile(
-    r"(?:ssn|social(?:[\s\-]+security)?|nino|ni|national[\s]+insurance|dni|nie|nif|nir|insee|s[ée]curit[ée][\s]+sociale|steuer[\s\-]?id(?:entifikationsnummer|nr\.?)?|steuernummer|tax[\s\-]*(?:payer)?[\s\-]*id(?:entity|entification)?|tin|itin|curp|"
-    r"passport|reisepass|pasaporte|passeport|driv(?:er|ing)['’]?s?[\s]+licen[cs]e|f[üu]hrerschein|permis|national[\s]+id(?:entity)?|identity[\s]+(?:card|number)|id[\s]+card|(?:personal)?ausweis|carte[\s]+d.identit[ée])"
+    r"(?:ssn|social(?:[\s\-]+security)?|nino|(?<!\p{L})(?:ni|dni|nie|nif|nir|tin)|national[\s]+insurance|insee|s[ée]curit[ée][\s]+sociale|steuer[\s\-]?id(?:entifikationsnummer|nr\.?)?|steuernummer|tax[\s\-]*(?:payer)?[\s\-]*id(?:entity|entification)?|itin|curp|"
+    r"passport|reisepass|pasaporte|passeport|driv(?:er|ing)['’]?s?[\s]+licen[cs]e|f[üu]hrerschein|permis|national[\s]+id(?:entity)?|identity[\s]+(?:card|number)|(?<!\p{L})id[\s]+card|(?:personal)?ausweis|carte[\s]+d.identit[ée])"
     r"(?:[\s]+(?:card|number|nummer|no|nr|num|id|n[°º]))?\.?[\s:#°º=\-]*$",
     regex.I,
 )
@@ -179,10 +189,17 @@ _CUES = {
 _CUE_OF = {w: c for c, ws in _CUES.items() for w in ws.split()}
 
 
+_TOKEN = regex.compile(r"[\p{L}\-]+\.?|[^\s\p{L}]")
+_NEXT = regex.compile(r"[\s\u200b]*(ext|x\d|durchwahl|poste)?([^\s]?)", regex.I)
+_EMAIL_AT, _EMAIL_DOT = regex.compile(_AT + r"|\sat\s", regex.I), regex.compile(_DOT, regex.I)
+_GLUED = re.compile(r"\.\w|[\[(]at")
+_BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000"
+
+
 def context(text: str, start: int, end: int) -> list[str]:
     """Features of what stands around a span."""
     left = text[max(0, start - 40) : start]
-    before = regex.findall(r"[\p{L}\-]+\.?|[^\s\p{L}]", left)[-3:]
+    before = _TOKEN.findall(left)[-3:]
     last = [b.lower().rstrip(".") for b in before]
     words_left = [b for b in last if b[:1].isalpha()]
     out = ["left:" + (_CUE_OF.get(words_left[-1], "other") if words_left else "none")]
@@ -192,7 +209,7 @@ def context(text: str, start: int, end: int) -> list[str]:
     mark = left.rstrip()[-1:]
     out.append("mark:" + (mark if mark and not mark.isalnum() else "word" if mark else "begin"))
     right = text[end : end + 24]
-    step = regex.match(r"[\s​]*(ext|x\d|durchwahl|poste)?([^\s]?)", right, regex.I)
+    step = _NEXT.match(right)
     if step[1]:
         out.append("then:extension")
     if step[2]:
@@ -206,10 +223,10 @@ def _email_spans(text: str) -> Iterator[Span]:
         body = m.group().rstrip("-")
         end = start + len(body)
         sign = "＠" if "＠" in body else "@"
-        local, _, domain = body.partition(sign) if sign in body else (regex.split(_AT + r"|\sat\s", body, maxsplit=1, flags=regex.I) + [""])[:1] + ["", body]
+        local, _, domain = body.partition(sign) if sign in body else (_EMAIL_AT.split(body, maxsplit=1) + [""])[:1] + ["", body]
         f = ["email"]
         f.append("sign:" + ("at" if "@" in body else "word"))
-        labels = [x for x in regex.split(_DOT, domain.strip(), flags=regex.I) if x]
+        labels = [x for x in _EMAIL_DOT.split(domain.strip()) if x]
         f.append(f"labels:{min(len(labels), 3)}")
         last = labels[-1] if labels else ""
         f.append("top:" + ("letters" if last.isalpha() and len(last) > 1 else "version" if regex.fullmatch(r"v?\d+", last, regex.I) else "other"))
@@ -222,8 +239,10 @@ def _email_spans(text: str) -> Iterator[Span]:
         yield Span(start, end, "email", tuple(f))
 
 
-def _phone_spans(text: str) -> Iterator[Span]:
+def _phone_spans(text: str, numbers: bool = True, spoken: bool = True) -> Iterator[Span]:
     for plan, pattern in _PHONES.items():
+        if not (spoken if plan == "spoken" else numbers):
+            continue
         for m in pattern.finditer(text):
             start, end = m.span()
             digits = sum(c.isdigit() for c in m.group())
@@ -289,7 +308,7 @@ _DOES = frozenset(
     "asked asks said says wrote writes called calls left leaves will would has had was is reported reports confirmed confirms signed reviewed approved lives joined met sent wants went came thinks thought agreed answered moved works worked told steht hat sagt sagte war ist wird ayer hier dijo pidió a est dit".split()
 )
 _TITLE = frozenset("mr mrs ms miss mx dr prof professor sir dame herr frau fr hr mme mlle sr sra srta don doña madame monsieur señor señora".split())
-_TWO_CAPITALS = regex.compile(r"\p{Lu}[\p{L}\p{M}'’\-]*[\p{L}\p{M}]\.?(?:[\s\u200b]{1,4}|[\s\u200b]{0,2},[\s\u200b]{1,4})\p{Lu}")
+_TWO_CAPITALS = regex.compile(r"\p{Lu}[\p{L}\p{M}'’\-]*[\p{L}\p{M}](?:[\s\u200b]{1,4}|[\s\u200b]{0,2},[\s\u200b]{1,4})\p{Lu}")
 
 
 #: Vocabularies of public tokenizers, whose tokens say which words are common in running text.
@@ -368,7 +387,7 @@ def _person_spans(text: str, names: Names, words: list[tuple[int, int, str]]) ->
             out.append(f"more_families:{sort}")
         # What stands before: a word just before it, how it is written, and what it means.
         left = text[max(0, start - 12) : start]
-        gap = regex.search(r"[\s\u200b]*$", left).start()
+        gap = len(left.rstrip(_BLANKS))
         before = ends.get(max(0, start - 12) + gap - (left[gap - 1 : gap] == "."))
         mark = left[gap - 1 : gap]
         if before is None or (mark == "." and len(words[before][2]) > 1 and words[before][2].lower() not in _TITLE):
@@ -397,14 +416,18 @@ def _person_spans(text: str, names: Names, words: list[tuple[int, int, str]]) ->
             out += [f"around:{raised}:{cases}", f"around:{raised}:{sort}", f"around:{raised}:{sort}:{its}"]
         if text[max(0, start - 1) : start] in ("_", "@", "+", "/", ".", "#", "-") and start:
             out.append("joined")
-        if text[end : end + 1] in ("@", "_", "+", "/") or regex.match(r"\.\w|[\[(]at", text[end : end + 3]):
+        if text[end : end + 1] in ("@", "_", "+", "/") or _GLUED.match(text, end):
             out.append("joined")
         return Span(start, end, "person", tuple(out))
 
     for k, (s, e, w) in enumerate(words):
+        if not w[0].isupper() and not names.in_lower(w[:-2] if w[-2:] in ("'s", "’s") else w):
+            continue
+        follower = words[k + 1][2] if k + 1 < len(words) else ""
+        if not (follower[:1].isupper() or follower in _PARTICLE or names.is_given(_POSSESSIVE.sub("", w)) or names.in_lower(_POSSESSIVE.sub("", follower))):
+            continue
         word, sort = about(k)
-        end = s + len(word)
-        if sort in ("stop", "initial") or not (w[0].isupper() or sort == "known"):
+        if sort in ("stop", "initial"):
             continue
         # Given (initials) family (second family).
         position = after(e)
@@ -428,7 +451,7 @@ def _person_spans(text: str, names: Names, words: list[tuple[int, int, str]]) ->
                 yield span(s, m.end(), order, m.group(), "initial", k, False)
             if g is None or (order == "family_given" and about(g)[1] != "known") or about(g)[1] in ("stop", "initial"):
                 continue
-            if not (words[g][2][0].isupper() or about(g)[1] == "known"):
+            if not (words[g][2][0].isupper() or names.in_lower(about(g)[0])):
                 continue
             stop = words[g][0] + len(about(g)[0])
             m = _INITIAL_AT.match(text, after(words[g][1]) or len(text)) if stop == words[g][1] else None
@@ -444,17 +467,21 @@ def _person_spans(text: str, names: Names, words: list[tuple[int, int, str]]) ->
             position = after(more.end()) or more.end()
 
 
-#: What each grammar can't do without: seven digits in a row but for separators, a spoken digit, a label, a word of streets.
+#: What each grammar can't do without: seven digits in a row but for separators, two spoken digits, a label, a word of streets.
 _CLUSTER = re.compile(r"\d(?:[\s\u200b.()\-–‐‑/]{0,3}\d){6,}")
+#: Clusters that no numbering plan takes: a date, and twelve digits or more without a separator, a plus or a double zero.
+_NO_PHONE = re.compile(r"[12]\d\d\d-\d\d-\d\d|(?!00)\d{12,}")
 _SPOKEN = frozenset("zero oh one two three four five six seven eight nine double triple".split())
-_LABEL_PART = re.compile(
-    r"ssn|social|nino|\bni\b|national|\bdni\b|\bnie\b|\bnif\b|\bnir\b|insee|curit|steuer|\btax|\btin\b|itin|curp|passp|reisepass|pasaporte|licen|führerschein|fuhrerschein|permis|identit|\bid\b|ausweis"
-)
+_SPOKEN_PAIR = re.compile(rf"\b{_DIGIT}(?:[\s\-]+|,\s*){_DIGIT}\b")
+_LABELS = frozenset("ni dni nie nif nir tin id".split())
+_LONG_LABELS = ("ssn", "social", "nino", "national", "insee", "curit", "steuer", "tax", "itin", "curp", "passport", "reisepass", "pasaporte", "passeport", "licen", "führerschein", "fuhrerschein", "permis", "identit", "ausweis")
 _STREET_WORDS = frozenset(
     "street st road rd lane ln avenue ave terrace gardens gdns court ct drive blvd boulevard close way square sq place pl crescent row walk hill mews park box postfach apartado postale bp calle plaza avenida avda av "
     "paseo camino rue chemin allée allee impasse quai cours".split()
 )
 _STREET_END = re.compile(r"(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ring|ufer)[\s\u200b]{1,3}\d|\bc/|\bb\.?p\.?[\s\u200b]")
+#: One of these is in every text that the pattern before can match.
+_STREET_PARTS = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "ufer", "c/", "b.p", "bp")
 _OBSCURED = re.compile(r"[\[({]\s?at\s?[\])}]|\sdot\s")
 
 
@@ -465,11 +492,13 @@ def spans(text: str, names: Names) -> list[Span]:
     low = set(_PART.findall(lower))
     if "@" in text or "＠" in text or _OBSCURED.search(lower):
         out += _email_spans(text)
-    if _CLUSTER.search(text) or len(_SPOKEN & low) > 1:
-        out += _phone_spans(text)
-    if _LABEL_PART.search(lower):
+    numbers = any(text[m.start() - 1 : m.start()] == "+" or not _NO_PHONE.fullmatch(m.group()) for m in _CLUSTER.finditer(text))
+    spoken = len(_SPOKEN & low) > 1 and _SPOKEN_PAIR.search(lower) is not None
+    if numbers or spoken:
+        out += _phone_spans(text, numbers, spoken)
+    if any(x in lower for x in _LONG_LABELS) or not low.isdisjoint(_LABELS):
         out += _id_spans(text)
-    if not low.isdisjoint(_STREET_WORDS) or _STREET_END.search(lower):
+    if not low.isdisjoint(_STREET_WORDS) or (any(x in lower for x in _STREET_PARTS) and _STREET_END.search(lower)):
         out += _address_spans(text)
     if names.hints(low) or _TWO_CAPITALS.search(text) or _INITIAL.search(text):
         out += _person_spans(text, names, [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)])
@@ -638,10 +667,10 @@ def lexicon(spark: SparkSession, entities: DataFrame) -> Names | DataFrame:
 
 
 def _texts(rows: DataFrame, id_col: str, text_col: str, names: Names | DataFrame) -> DataFrame:
-    """(row_id, text, given, families): the rows, with the words of a joined lexicon that each text has."""
+    """(row_id, text), and with a joined lexicon (given, families): the words of it that each text has."""
     small = rows.select(F.col(id_col).cast("string").alias("row_id"), F.col(text_col).alias("text"))
     if isinstance(names, Names):
-        return spread(small).withColumns({"given": F.lit(None).cast("array<string>"), "families": F.lit(None).cast("array<string>")})
+        return spread(small)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -661,8 +690,9 @@ def _each(rows: DataFrame, names: Names | DataFrame, weights: dict[str, float],
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, t, given, families in b[["row_id", "text", "given", "families"]].itertuples(index=False, name=None):
-                known = carried or Names(() if given is None else given, () if families is None else families)
+            joined = () if carried else (b.given, b.families)
+            for i, t, *its in zip(b.row_id, b.text, *joined, strict=True):
+                known = carried or Names(*(() if x is None else x for x in its))
                 out += make(i, t, items(t, known, weights) if t else [])
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in schema.split(", ")])
 
