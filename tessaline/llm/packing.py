@@ -4,10 +4,11 @@ Items are put one after another where the sum over all residual gaps g of N(g)^2
 left, becomes smallest. An item above the capacity, and only such an item, is divided: into pieces that fill a container each, and a
 rest that is packed like any other item.
 
-Packing is a sequential rule, so items are first dealt, by a hash of their id, to groups of about `GROUP` items; each group is packed
-in one task, larger items first, and container numbers are (group, number in group). A group leaves a handful of
-containers open, so its size bounds the loss: with some ten thousand items in a group it is under a percent. Groups are
-equally large whatever the ids, so no source or key can make one hot.
+Packing is a sequential rule, so pieces are first dealt, by a hash of their id and number, to groups of about `GROUP` pieces; each group is packed
+in one task, larger pieces first, and container numbers are (group, number in group). Pieces that fill a container alone are numbered without
+being packed. A group leaves a handful of containers open, so its size bounds the loss: with some ten thousand pieces in a group it is under
+a percent. Groups are equally large whatever the ids and sizes, so no source, key or long text can make one hot; each has a partition of
+its own, as the work is in the packing, not in the bytes.
 
 Defined results: an item of size 0 or null needs no room and is in no container (container null, piece 0 of 0 tokens); an empty table
 gives no rows; ties go to the smallest gap, then to the container opened last. Sizes count whole texts.
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessaline.runtime import parallelism
+
 GROUP = 16_384
 
 
@@ -68,19 +71,25 @@ def pack(items: DataFrame, id_col: str, size: str, budgets: list[tuple[str, int]
     """
     spark = items.sparkSession
     kind = dict(items.dtypes)[id_col]
-    wanted = spark.createDataFrame(budgets, "budget_name string, capacity int")
+    wanted = F.array(*(F.struct(F.lit(name).alias("budget_name"), F.lit(int(c)).alias("capacity")) for name, c in budgets))
     sized = items.select(F.col(id_col).alias("id"), F.col(size).alias("n"))
-    pieces = divided(sized.crossJoin(F.broadcast(wanted)), "n", "capacity").drop("n")
-    total = items.count()
-    groups = max(1, round(total / group))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "piece_no"), F.lit(groups)).cast("int"))
+    pieces = divided(sized.select("id", "n", F.explode(wanted).alias("b")).select("id", "n", "b.*"), "n", "capacity").drop("n")
+    # Pieces, not items, make a group: a long text or a small capacity gives many.
+    total = {r.budget_name: r.pieces for r in pieces.groupBy("budget_name").agg(F.count("*").alias("pieces")).collect()}
+    groups = {name: max(1, round(total.get(name, 0) / group)) for name, _ in budgets}
+    count = F.element_at(F.create_map(*(F.lit(x) for g in groups.items() for x in g)), F.col("budget_name"))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "piece_no"), count).cast("int"))
+    apart = min(sum(groups.values()), max(4 * parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = dealt.repartition(2 * apart, "budget_name", "group")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["piece_tokens", "id", "piece_no"], ascending=[False, True, True], kind="stable")
-        room = pdf.piece_tokens.to_numpy() > 0
-        place = sum_of_squares(pdf.piece_tokens.to_numpy()[room], int(pdf.capacity.iloc[0]))
+        size, capacity = pdf.piece_tokens.to_numpy(), int(pdf.capacity.iloc[0])
+        full = int((size >= capacity).sum())
+        room = (size > 0) & (size < capacity)
         names = np.full(len(pdf), None, object)
-        names[room] = [f"{pdf.group.iloc[0]}-{p}" for p in place]
+        names[size >= capacity] = [f"{pdf.group.iloc[0]}-{p}" for p in range(full)]
+        names[room] = [f"{pdf.group.iloc[0]}-{full + p}" for p in sum_of_squares(size[room], capacity)]
         return pdf.assign(container=names)[["budget_name", "id", "piece_no", "first_token", "piece_tokens", "container"]]
 
     schema = f"budget_name string, id {kind}, piece_no int, first_token int, piece_tokens int, container string"

@@ -2,13 +2,14 @@
 
 Items are counted first. A pair can't reach `min_pairs` records if one of its items doesn't, so rarer items are
 dropped, which is exact. With `min_share` (a pair must be in at least that share of the records) the number of items that stay
-is at most the mean basket size divided by the share, whatever the number of records: that vocabulary is broadcast
-as dense item numbers; without such a bound it is joined by a shuffle.
+is at most the mean basket size divided by the share, whatever the number of records: a vocabulary whose counted size is small goes
+to the tasks, which translate their records in place; a larger one is joined by a shuffle.
 
-Each task turns its records into a binary sparse matrix with item columns in blocks, adds up the transpose
-products of its record blocks per block of the Gram matrix, and emits the non-zero counts once (or when the accumulators
-reach their memory bound), so the shuffle carries partial counts, never pairs of records. Frequent items need
-no special care: they are columns, not groups.
+Items are numbered by how many records have them, the frequent ones first, and put into blocks. Each task turns its records into a binary sparse
+matrix of item blocks and adds up the transpose products of its record blocks: between the first `DENSE` blocks, where most records
+have items, as products of dense matrices; elsewhere as sparse products, whose entries are (i, j) codes that are combined by
+sorting. What a task holds is bounded (`HELD` entries): beyond it the combined entries are emitted and summed by the shuffle, which
+carries partial counts, never pairs of records. Frequent items need no special care: they are columns, not groups.
 
 Defined results: null, blank and repeated items don't count; a null or empty basket counts as a record without items; an
 empty table gives no pairs. Only the named column matters, so clashing column names don't.
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from tessaline.runtime import cut
 
-#: Items in a block, records multiplied at once, and Gram blocks that a task accumulates before it emits (64 MB).
-BLOCK, RECORDS, HELD = 256, 8_192, 128
-#: A vocabulary up to this many items is broadcast (some 10 MB), a larger one is joined by a shuffle.
+#: Items in a block, blocks multiplied densely, records multiplied at once, and entries that a task holds before it emits them (64 MB).
+BLOCK, DENSE, RECORDS, HELD = 256, 2, 8_192, 4_000_000
+#: A vocabulary up to this many items travels with the tasks (some 10 MB), a larger one is joined by a shuffle.
 BROADCAST_ITEMS = 100_000
 
 _SPACE = r"[\s\u0085   -     　]+"
@@ -39,39 +40,87 @@ def clean(items: Column) -> Column:
     return F.coalesce(F.array_distinct(F.filter(trimmed, lambda x: x.isNotNull() & (x != ""))), F.array().cast("array<string>"))
 
 
-def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial (i, j, k), i < j, of the Gram matrix of the baskets in `items`, arrays of item numbers."""
-    held: dict[tuple[int, int], np.ndarray] = {}
+def combined(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, with the sums of their counts."""
+    if not len(codes):
+        return codes, counts
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.diff(codes, prepend=codes[0] - 1))
+    return codes[first], np.add.reduceat(counts[order], first)
 
-    def emit() -> Iterator[pd.DataFrame]:
-        for (one, two), counts in held.items():
-            at = np.flatnonzero(counts)
-            yield pd.DataFrame({"i": one * BLOCK + at // BLOCK, "j": two * BLOCK + at % BLOCK, "k": counts[at].astype(np.int64)})
-        held.clear()
+
+def sparse_product(column: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Codes i << 32 | j, i < j, of the entries of X'X, each as often as records have both; columns ascend within each row."""
+    size = np.bincount(row) if len(row) else np.zeros(0, int)
+    # Element e of a record of n items pairs with the n - 1 - e that follow it.
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    follow = np.repeat(size, size) - 1 - place
+    left = np.repeat(np.arange(len(row)), follow)
+    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(follow) - follow, follow)
+    return column[left] << 32 | column[right]
+
+
+def gram(batches: Iterator[pd.DataFrame], items: str = "items", numbers: pd.Index | None = None) -> Iterator[pd.DataFrame]:
+    """Partial (i, j, k), i < j, of the Gram matrix of the baskets: arrays of item numbers, or of items that `numbers` has in order."""
+    head = DENSE * BLOCK
+    dense = np.zeros((head, head), np.int64)
+    held, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def table(codes: np.ndarray, k: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"i": codes >> 32, "j": codes & 0xFFFFFFFF, "k": k})
 
     for batch in batches:
         for begin in range(0, len(batch), RECORDS):
-            baskets = [np.sort(np.asarray(b)) for b in batch["items"].iloc[begin : begin + RECORDS]]
-            sizes = np.array([len(b) for b in baskets])
-            column = np.concatenate(baskets) if len(baskets) else np.zeros(0, int)
+            baskets = batch[items].iloc[begin : begin + RECORDS]
+            sizes = baskets.map(len).to_numpy()
+            if not sizes.sum():
+                continue
             row = np.repeat(np.arange(len(baskets)), sizes)
-            for apart in range(1, int(sizes.max(initial=0))):
-                # Records shorter than this are done; the others give each product of columns `apart` places apart.
-                long = sizes[row] > apart
-                column, row = column[long], row[long]
-                same = row[apart:] == row[:-apart]
-                i, j = column[:-apart][same], column[apart:][same]
-                tile = (i // BLOCK) * (1 << 32) + j // BLOCK
-                order = np.argsort(tile, kind="stable")
-                tiles, first = np.unique(tile[order], return_index=True)
-                for t, part in zip(tiles, np.split(order, first[1:]), strict=True):
-                    key = (int(t >> 32), int(t & 0xFFFFFFFF))
-                    if key not in held:
-                        if len(held) >= HELD:
-                            yield from emit()
-                        held[key] = np.zeros(BLOCK * BLOCK, np.int64)
-                    held[key] += np.bincount((i[part] % BLOCK) * BLOCK + j[part] % BLOCK, minlength=BLOCK * BLOCK)
-    yield from emit()
+            column = np.concatenate(baskets.to_numpy())
+            column = column.astype(np.int64) if numbers is None else numbers.get_indexer(column).astype(np.int64)
+            known = column >= 0
+            row, column = row[known], column[known]
+            order = np.lexsort((column, row))
+            row, column = row[order], column[order]
+            frequent = column < head
+            if frequent.any():
+                x = np.zeros((len(baskets), head), np.float32)
+                x[row[frequent], column[frequent]] = 1
+                # Sums of at most `RECORDS` ones are exact in single precision.
+                dense += (x.T @ x).astype(np.int64)
+            # Pairs with a rarer item: all pairs of the records that have one, without those between frequent items.
+            rare = np.bincount(row[~frequent], minlength=len(baskets)) > 0
+            mine = rare[row]
+            if mine.any():
+                bounds = np.searchsorted(row, np.arange(len(baskets) + 1))
+                work = np.cumsum(np.where(rare, np.diff(bounds) ** 2, 0))
+                for low, high in _slices(work, 8_000_000):
+                    part = mine[bounds[low] : bounds[high]]
+                    codes = sparse_product(column[bounds[low] : bounds[high]][part], row[bounds[low] : bounds[high]][part] - low)
+                    codes = codes[(codes & 0xFFFFFFFF) >= head]
+                    codes, k = combined(codes, np.ones(len(codes), np.int64))
+                    held.append(codes)
+                    counts.append(k)
+                    if sum(map(len, held)) > HELD:
+                        codes, k = combined(np.concatenate(held), np.concatenate(counts))
+                        if 2 * len(codes) > HELD:
+                            yield table(codes, k)
+                            codes, k = codes[:0], k[:0]
+                        held, counts = [codes], [k]
+    yield table(*combined(np.concatenate(held), np.concatenate(counts)))
+    i, j = np.nonzero(np.triu(dense, 1))
+    yield pd.DataFrame({"i": i, "j": j, "k": dense[i, j]})
+
+
+def _slices(work: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of records whose work is about `most` each; `work` is cumulative. A record alone may exceed it."""
+    low = 0
+    while low < len(work):
+        done = work[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(work, done + most, "right")))
+        yield low, high
+        low = high
 
 
 def pair_counts(records: DataFrame, items: Column, min_pairs: int = 1, min_share: float = 0.0) -> DataFrame:
@@ -80,14 +129,18 @@ def pair_counts(records: DataFrame, items: Column, min_pairs: int = 1, min_share
     n = baskets.count()
     least = max(min_pairs, 1, int(np.ceil(min_share * n - 1e-9)))
     frequent = baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("records")).where(F.col("records") >= least)
-    frequent = cut(frequent)
-    size = frequent.count()
     numbers = number(frequent)
+    size = numbers.count()
+    schema = "i long, j long, k long"
     if size <= BROADCAST_ITEMS:
+        index = pd.Index([r["item"] for r in numbers.orderBy("number").select("item").collect()], dtype=object)
         numbers = F.broadcast(numbers)
-    exploded = baskets.select("record", F.explode("items").alias("item")).join(numbers, "item")
-    sparse = exploded.groupBy("record").agg(F.collect_list("number").alias("items")).where(F.size("items") > 1).select("items")
-    counted = sparse.mapInPandas(gram, "i long, j long, k long").groupBy("i", "j").agg(F.sum("k").alias("k")).where(F.col("k") >= least)
+        products = baskets.where(F.size("items") > 1).select("items").mapInPandas(lambda rows: gram(rows, "items", index), schema)
+    else:
+        exploded = baskets.select("record", F.explode("items").alias("item")).join(numbers, "item")
+        sparse = exploded.groupBy("record").agg(F.collect_list("number").alias("items")).where(F.size("items") > 1).select("items")
+        products = sparse.mapInPandas(gram, schema)
+    counted = products.groupBy("i", "j").agg(F.sum("k").alias("k")).where(F.col("k") >= least)
     name = lambda s, at, c: numbers.select(F.col("item").alias(s), F.col("number").alias(at), F.col("records").alias(c))
     pairs = counted.join(name("x", "i", "x_n"), "i").join(name("y", "j", "y_n"), "j")
     swap = F.col("x") > F.col("y")
@@ -99,10 +152,11 @@ def pair_counts(records: DataFrame, items: Column, min_pairs: int = 1, min_share
 
 
 def number(items: DataFrame) -> DataFrame:
-    """`items` with a dense `number` from 0, frequent ones first in their partition; offsets are one row per partition."""
+    """(item, records, number): numbers from 0 in the order of falling frequency, then item; offsets are one row per partition."""
     spark = items.sparkSession
+    order = [F.col("records").desc(), F.col("item")]
     placed = cut(
-        items.repartitionByRange("item").sortWithinPartitions("item").select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+        items.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
     )
     sizes = placed.groupBy("p").agg(F.count("*").alias("c"), F.min("m").alias("low")).orderBy("p").collect()
     start, offsets = 0, []
@@ -110,7 +164,7 @@ def number(items: DataFrame) -> DataFrame:
         offsets.append((r.p, start - r.low))
         start += r.c
     shift = spark.createDataFrame(offsets, "p int, shift bigint")
-    return placed.join(F.broadcast(shift), "p").select("item", "records", (F.col("m") + F.col("shift")).alias("number"))
+    return cut(placed.join(F.broadcast(shift), "p").select("item", "records", (F.col("m") + F.col("shift")).alias("number")))
 
 
 def above_chance(pairs: DataFrame, lift: float = 3.0) -> DataFrame:

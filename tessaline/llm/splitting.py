@@ -2,7 +2,8 @@
 
 The smallest number of pieces that can hold the text with the given overlap is computed, equally long targets are placed, and each
 target end moves to the strongest boundary near it (blank line, then line, sentence, clause, word, then any place). A piece's text
-is tokenised again by itself; if one exceeds the limit, or an end can't be placed, one more piece is tried.
+is tokenised again by itself; an end whose piece exceeds the limit gives way to the next best, and if no end is left one more piece is tried.
+What can't be cut within the limit at all (a limit below the tokens of one character) is an error, never a longer piece.
 
 Every piece but the first begins exactly `overlap` tokens of the document before the end of the one before, unless that token would
 divide a character: then it begins at the nearest earlier token that doesn't (some tokens of scripts with
@@ -149,14 +150,12 @@ def split(text: str, limit: int, overlap: int, vocabulary: str = VOCABULARY, ids
     # The last border at or before each one that doesn't divide a character.
     back = np.maximum.accumulate(np.where(whole, np.arange(n + 1), 0))
     count = -(-(n - overlap) // (limit - overlap))
-    while True:
+    while count <= n:
         pieces = _place(text, n, limit, overlap, count, chars, back, strong, certain, vocabulary)
         if pieces:
             return pieces
-        # Further pieces, a few at once for long texts, until every limit holds.
-        count += max(1, count // 64)
-        if count > n:
-            return _place(text, n, limit, overlap, None, chars, back, strong, certain, vocabulary)
+        count += 1
+    return _place(text, n, limit, overlap, None, chars, back, strong, certain, vocabulary)
 
 
 def _place(text, n, limit, overlap, count, chars, back, strong, certain, vocabulary):
@@ -186,23 +185,29 @@ def _place(text, n, limit, overlap, count, chars, back, strong, certain, vocabul
                 options = np.arange(max(end + 1, begin + 1), most + 1)
                 options = options[strong[options] >= 0]
                 if not len(options):
-                    return None if left is not None else pieces + [(begin, n, int(chars[begin]), len(text), 7)]
+                    if left is not None:
+                        return None
+                    raise ValueError(f"no piece of at most {limit} tokens ends with a whole character")
             exact = (back[np.maximum(options - overlap, 0)] == options - overlap).astype(int)
             order = np.lexsort((np.abs(options - target), -strong[options], -exact))
             stop = None
-            for o in order[:32]:
+            for o in order:
                 if fits(options[o]):
                     stop = int(options[o])
                     break
             if stop is None:
                 if left is not None:
                     return None
-                fitting = [int(o) for o in options[::-1] if fits(o)]
-                stop = fitting[0] if fitting else int(options[0])
+                every = np.arange(max(end + 1, begin + 1), most + 1)[::-1]
+                stop = next((int(o) for o in every if strong[o] >= 0 and fits(o)), None)
+                if stop is None:
+                    raise ValueError(f"no piece of at most {limit} tokens ends with a whole character")
         if stop == n and not fits(n):
             if left is not None:
                 return None
-            stop = int(back[n - 1])
+            stop = next((int(o) for o in range(n - 1, max(end, begin), -1) if strong[o] >= 0 and fits(o)), None)
+            if stop is None:
+                raise ValueError(f"no piece of at most {limit} tokens ends with a whole character")
         pieces.append((begin, stop, int(chars[begin]), int(chars[stop]), 7 if stop == n else int(strong[stop])))
         end = stop
         begin = int(back[max(stop - overlap, begin + 1)]) if stop < n else n

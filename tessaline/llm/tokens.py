@@ -8,8 +8,10 @@ every document. A join of two chunks is repaired by encoding the text between th
 so the result agrees exactly with encoding the text as a whole. A reused chunk's bytes are compared by hash in
 each document.
 
-Texts go through the shuffle once, by document, and only hashes and shared chunks otherwise. A chunk that a third of all
-documents share is one encoded row; its copies are a side that skew-join handling may split.
+Hashes are shuffled, texts once at most: to meet the list of their shared chunks, which is broadcast if it is small. In that one pass over the
+texts each document encodes what is its own, and the owner of a chunk encodes it; then only documents with shared chunks are
+assembled, from ids. A chunk that a third of all documents share is one encoded row, broadcast if the encoded chunks are few; its
+copies are a side that skew-join handling may split. Texts below `LEAST` bytes aren't chunked: encoding them costs less than a join.
 
 Defined results: null and empty texts get an empty list; ids don't include special tokens, and their strings in a text are
 ordinary text; repeated or null document ids each keep their row. Other columns are ignored.
@@ -133,24 +135,42 @@ def middle(text: str) -> tuple[int, int] | None:
     return (first.start(), at) if at > first.start() else None
 
 
-def assemble(text: bytes, shared: list[dict], vocabulary: str = VOCABULARY) -> np.ndarray:
-    """Ids of `text`, whose `shared` chunks (start, size, head, tail in bytes, ids, hash) are encoded already."""
-    parts, at = [], 0
+def parts(text: bytes, shared: list[dict], vocabulary: str = VOCABULARY) -> tuple[list[np.ndarray], list[bytes]]:
+    """What `text` encodes itself, around the middles of its `shared` chunks (start, size, h), and the hashes of these: one fewer than the parts."""
+    own, hashes, at = [], [], 0
     for piece in sorted(shared, key=lambda p: p["start"]):
         start, end = piece["start"], piece["start"] + piece["size"]
-        if start < at or xxhash.xxh3_128_digest(text[start:end]) != piece["h"]:
+        raw = text[start:end]
+        if start < at or xxhash.xxh3_128_digest(raw) != piece["h"]:
             continue
-        parts.append(encode_array(text[at : start + piece["head"]].decode(), vocabulary).astype(np.int32))
-        parts.append(np.frombuffer(piece["ids"], np.uint16).astype(np.int32))
-        at = start + piece["tail"]
-    parts.append(encode_array(text[at:].decode(), vocabulary).astype(np.int32))
-    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+        inner = split_middle(raw)
+        if inner is None:
+            continue
+        own.append(encode_array(text[at : start + inner[0]].decode(), vocabulary))
+        hashes.append(piece["h"])
+        at = start + inner[1]
+    own.append(encode_array(text[at:].decode(), vocabulary))
+    return own, hashes
+
+
+def split_middle(raw: bytes) -> tuple[int, int] | None:
+    """`middle` of a chunk, in bytes."""
+    words = raw.decode()
+    at = middle(words)
+    if at is None:
+        return None
+    head = len(words[: at[0]].encode())
+    return head, head + len(words[at[0] : at[1]].encode())
+
+
+#: Rows up to which the lists of shared chunks, and the encoded chunks, are broadcast.
+BROADCAST_LISTS, BROADCAST_CHUNKS = 200_000, 20_000
 
 
 def token_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, ids) of every document."""
     kind = dict(documents.dtypes)[id_col]
-    docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,53 +185,68 @@ def token_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     sizes.append(end - begin)
                     hashes.append(xxhash.xxh3_128_digest(raw[begin:end]))
                     begin = end
-            ids = batch.column("id").take(pa.array(rows, pa.int64()))
+            at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.binary())], ["id", "start", "size", "h"]
+                [batch.column("id").take(at), batch.column("t").take(at), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.binary())],
+                ["id", "t", "start", "size", "h"],
             )
 
-    refs = cut(docs.where("id is not null and text <> ''").mapInArrow(chunk, f"id {kind}, start int, size int, h binary"))
-    owner = F.min_by(F.struct("id", "start", "size"), F.struct("id", "start"))
-    shared = cut(refs.groupBy("h").agg(F.count("*").alias("times"), owner.alias("own")).where("times > 1").select("h", "own.*"))
-
-    def encode_owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # (id, t) names a text: rows that repeat both have the same chunks and the same ids.
+    refs = cut(docs.where("id is not null and text <> ''").mapInArrow(chunk, f"id {kind}, t long, start int, size int, h binary").dropDuplicates(["id", "t", "start"]))
+    owner = F.min(F.struct("id", "t", "start"))
+    shared = refs.groupBy("h").agg(F.count("*").alias("times"), owner.alias("own")).where("times > 1").select("h", "own")
+    met = refs.join(shared, "h").withColumn("owned", (F.col("own.id") == F.col("id")) & (F.col("own.t") == F.col("t")) & (F.col("own.start") == F.col("start")))
+    lists = cut(met.groupBy("id", "t").agg(F.collect_list(F.struct("start", "size", "h", "owned")).alias("shared")))
+    few = lists.count() <= BROADCAST_LISTS
+    listed = docs.join(F.broadcast(lists) if few else lists, ["id", "t"], "left").select("id", "t", "text", "shared")
+
+    def encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents: their own ids, how many before each shared chunk, and its hash. Owned chunks: hash and ids, without a list of hashes."""
         for batch in batches:
-            hashes, heads, tails, ids = [], [], [], []
-            for text, start, size, h in zip(*(batch.column(c).to_pylist() for c in ("text", "start", "size", "h")), strict=True):
-                piece = text.encode()[start : start + size]
-                if xxhash.xxh3_128_digest(piece) != h:
-                    continue
-                words = piece.decode()
-                at = middle(words)
-                if at is None:
+            at, own, cuts, hashes, chunks = [], [], [], [], []
+            for i, (text, here) in enumerate(zip(batch.column("text").to_pylist(), batch.column("shared").to_pylist(), strict=True)):
+                raw = text.encode()
+                if here is None:
+                    at.append(i), own.append(encode_array(text, vocabulary)), cuts.append(None), hashes.append(None), chunks.append(None)
                     continue
-                inner = words[at[0] : at[1]]
-                head = len(words[: at[0]].encode())
-                hashes.append(h)
-                heads.append(head)
-                tails.append(head + len(inner.encode()))
-                ids.append(encode_array(inner, vocabulary).astype(np.uint16).tobytes())
+                pieces, met_here = parts(raw, here, vocabulary)
+                at.append(i), own.append(np.concatenate(pieces)), hashes.append(met_here or None), chunks.append(None)
+                cuts.append(np.cumsum([len(p) for p in pieces[:-1]]).tolist() if met_here else None)
+                for piece in here:
+                    chunk_raw = raw[piece["start"] : piece["start"] + piece["size"]]
+                    inner = split_middle(chunk_raw) if piece["owned"] and xxhash.xxh3_128_digest(chunk_raw) == piece["h"] else None
+                    if inner:
+                        at.append(i), own.append(encode_array(chunk_raw[inner[0] : inner[1]].decode(), vocabulary))
+                        cuts.append(None), hashes.append(None), chunks.append(piece["h"])
+            lengths = np.array([0, *(len(x) for x in own)])
+            values = pa.array((np.concatenate(own) if own else np.zeros(0)).astype(np.int32), pa.int32())
+            lists_here = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), values)
+            rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes, pa.binary()), pa.array(heads, pa.int32()), pa.array(tails, pa.int32()), pa.array(ids, pa.binary())],
-                ["h", "head", "tail", "ids"],
+                [batch.column("id").take(rows), batch.column("t").take(rows), lists_here, pa.array(cuts, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.binary())), pa.array(chunks, pa.binary())],
+                ["id", "t", "ids", "cuts", "hashes", "chunk"],
             )
 
-    owned = docs.join(shared, "id").select("text", "start", "size", "h")
-    encoded = cut(owned.mapInArrow(encode_owned, "h binary, head int, tail int, ids binary").dropDuplicates(["h"]))
-    pieces = refs.join(encoded, "h").groupBy("id").agg(F.collect_list(F.struct("start", "size", "head", "tail", "ids", "h")).alias("shared"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, pieces_here in zip(batch.column("text").to_pylist(), batch.column("shared").to_pylist(), strict=True):
-                out.append(assemble(text.encode(), pieces_here or [], vocabulary) if pieces_here else encode_array(text, vocabulary).astype(np.int32))
-            lengths = np.array([0, *(len(x) for x in out)])
-            values = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "ids"])
-
-    joined = docs.join(pieces, "id", "left").select("id", "text", "shared")
-    return joined.mapInArrow(finish, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, t long, ids array<int>, cuts array<int>, hashes array<binary>, chunk binary"
+    encoded = listed.mapInArrow(encode_parts, schema)
+    if lists.isEmpty():
+        return encoded.select(F.col("id").alias(id_col), "ids")
+    encoded = cut(encoded)
+    chunks = cut(encoded.where("chunk is not null").select(F.col("chunk").alias("h"), F.col("ids").alias("inner")).dropDuplicates(["h"]))
+    if chunks.count() <= BROADCAST_CHUNKS:
+        chunks = F.broadcast(chunks)
+    apart = encoded.where("hashes is not null")
+    wanted = apart.select("id", "t", F.posexplode("hashes").alias("k", "h")).dropDuplicates(["id", "t", "k"])
+    filled = wanted.join(chunks, "h").groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("k", "inner"))).alias("inner"))
+    # Slices of the document's own ids and the chunks' ids, alternately.
+    edge = lambda k: F.when(k < 0, 0).otherwise(F.get("cuts", k))
+    between = lambda p: F.concat(F.slice("ids", edge(p["k"] - 1) + 1, edge(p["k"]) - edge(p["k"] - 1)), p["inner"])
+    last = F.element_at("cuts", -1)
+    joined = apart.join(filled, ["id", "t"]).select(
+        "id", F.concat(F.flatten(F.transform("inner", between)), F.slice("ids", last + 1, F.greatest(F.size("ids") - last, F.lit(0)))).alias("ids")
+    )
+    plain = encoded.where("hashes is null and chunk is null").select("id", "ids")
+    return plain.unionByName(joined).withColumnRenamed("id", id_col)
 
 
 def with_token_counts(documents: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -23,6 +23,16 @@ def test_ids_agree_exactly(spark):
     assert tokens.token_ids(df.limit(0)).count() == 0
 
 
+def test_ids_agree_without_broadcasts_and_with_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "BROADCAST_LISTS", 0)
+    monkeypatch.setattr(tokens, "BROADCAST_CHUNKS", 0)
+    texts = corpus()
+    rows = [(i % 40 if i % 3 else None, t) for i, t in enumerate(texts)] + [(5, texts[20]), (5, texts[20])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = sorted((str(x.doc_id), list(x.ids)) for x in tokens.token_ids(df).collect())
+    assert got == sorted((str(i), tokens.encode(t) if t else []) for i, t in rows)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab 'sl\n\t.9é中 ", max_size=80), st.data())
 def test_middle_is_exact_in_any_context(text, data):
@@ -104,3 +114,25 @@ def test_sum_of_squares_picks_the_least_sum():
             gaps.append(capacity)
         gaps[place[k]] -= s
         assert gaps[place[k]] >= 0 and value(gaps) == min(options)
+
+
+def test_a_limit_below_a_character_is_an_error():
+    import pytest
+
+    with pytest.raises(ValueError, match="whole character"):
+        splitting.split("\U0001fae8" * 40, 1, 0)
+
+
+def test_as_few_pieces_as_any_count_allows():
+    """No smaller count can be placed: each one below the result fails by itself."""
+    r = random.Random(11)
+    for _ in range(20):
+        text = " ".join(r.choice(["tide", "Boje.", "中文。", "x" * 30, "1234567", "\n\n"]) for _ in range(r.randint(100, 600)))
+        ids = tokens.encode_array(text)
+        out = splitting.split(text, 64, 8)
+        chars, strong, certain = splitting.borders(text, ids, splitting.VOCABULARY)
+        import numpy as np
+
+        back = np.maximum.accumulate(np.where(chars >= 0, np.arange(len(ids) + 1), 0))
+        for count in range(-(-(len(ids) - 8) // 56), len(out)):
+            assert splitting._place(text, len(ids), 64, 8, count, chars, back, strong, certain, splitting.VOCABULARY) is None
