@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +39,14 @@ def geohash(lat: Column, lon: Column, precision: int = 6) -> Column:
             value = value * 2 + F.shiftright(source, place).bitwiseAND(F.lit(1).cast("bigint"))
         letters.append(F.substring(F.lit(ALPHABET), (value + 1).cast("int"), F.lit(1)))
     return F.concat(*letters)
+
+
+def box(lat: float, lon: float, radius: float, at_lat: Column, at_lon: Column) -> Column:
+    """Whether a place lies in the box around a circle; a circle that reaches a pole or the date line isn't bounded in longitude."""
+    high = math.degrees(radius / EARTH_RADIUS_M) * (1 + 1e-9)
+    inside = at_lat.between(lat - high, lat + high)
+    reach = math.cos(math.radians(min(90.0, abs(lat) + high)))
+    wide = math.degrees(math.asin(min(1.0, math.sin(min(math.pi / 2, radius / EARTH_RADIUS_M)) / reach))) * (1 + 1e-9) if reach > 1e-9 else 360.0
+    if abs(lat) + high >= 90 or lon - wide < -180 or lon + wide > 180:
+        return inside
+    return inside & at_lon.between(lon - wide, lon + wide)

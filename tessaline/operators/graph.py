@@ -31,6 +31,19 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def reach_from(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(root, node, depth): `reach` for each root by itself; a node counts once for a root, at its least depth."""
+    seen = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
+    front = seen
+    for d in range(1, depth + 1):
+        found = front.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        front = cut(found.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        if front.isEmpty():
+            break
+        seen = cut(seen.unionByName(front))
+    return seen
+
+
 def page_rank(edges: DataFrame, seeds: DataFrame, restart: float = 0.5, rounds: int = 10, tolerance: float | None = None) -> DataFrame:
     """(node, score) of personalised page rank over weighted edges (src, dst, weight); dangling mass is dropped.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
@@ -33,8 +33,15 @@ class MemoryFilter:
     near: tuple[float, float, float] | None = None
     episode_id: str | None = None
     user_id: str | None = None
+    severity: str | None = None
+    pattern_id: str | None = None
+    confidence: tuple[float, float] | None = None
+    anomalies_only: bool = False
+    #: Columns that bear a clause's field under another name.
+    names: dict[str, str] = field(default_factory=dict)
 
     def column(self) -> Column:
+        named = lambda c: F.col(self.names.get(c, c))
         c: list[Column] = []
         kind = F.col("memory_type")
         c.append(kind.isin(*self.kinds) if self.kinds else F.coalesce(kind != HIDDEN_KIND, F.lit(True)))
@@ -44,12 +51,16 @@ class MemoryFilter:
             c.append(F.col("created_at") >= F.lit(self.since))
         if self.until is not None:
             c.append(F.col("created_at") <= F.lit(self.until))
-        for name in ("robot_id", "mission_id", "action_type", "outcome_type", "terrain_type", "episode_id", "user_id"):
+        for name in ("robot_id", "mission_id", "action_type", "outcome_type", "terrain_type", "episode_id", "user_id", "severity", "pattern_id"):
             value = getattr(self, name)
             if value is not None:
-                c.append(F.col(name) == value)
-        if self.reward is not None:
-            c.append(F.col("reward").cast("double").between(*self.reward))
+                c.append(named(name) == value)
+        for name in ("reward", "confidence"):
+            bounds = getattr(self, name)
+            if bounds is not None:
+                c.append(~F.isnan(named(name)) & named(name).cast("double").between(*bounds))
+        if self.anomalies_only:
+            c.append(named("is_anomaly"))
         if self.tags is not None:
             c.append(any_tag(F.col("tags"), self.tags))
         if self.failures_only:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaline.plans import analytics, flows, knowledge, memories, problems, surfaces
+from tessaline.plans import analytics, filters, flows, graphs, knowledge, memories, mutations, problems, surfaces
 from tessaline.plans.registry import Registry
 
-MODULES = (problems, memories, analytics, flows, knowledge, surfaces)
+MODULES = (problems, memories, filters, mutations, analytics, flows, knowledge, surfaces, graphs)
 
 
 def registry() -> Registry:
