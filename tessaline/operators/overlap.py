@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessaline.operators.graph import components
 from tessaline.runtime import cut
 
 
@@ -34,3 +35,25 @@ def dice_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     both = near.join(left, left_key).join(right, right_key)
     score = 2.0 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b"))
     return both.select(left_key, right_key, score.alias("score")).where(F.col("score") >= least)
+
+
+def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, score), a < b, of keys whose sets (key, items) have a Jaccard similarity of `least` and more; joined on the rarest items only."""
+    sets = cut(sets.where(F.size("items") > 0))
+    frequency = cut(sets.select(F.explode("items").alias("w")).groupBy("w").agg(F.count("*").alias("f")))
+    head = cut(_ranked(sets, "key", "items", frequency).where(F.col("r") <= prefix_size(F.col("n"), least)).select("key", "n", "w"))
+    other = head.select(F.col("key").alias("b"), F.col("n").alias("b_n"), "w")
+    near = head.join(other, "w").where((F.col("key") < F.col("b")) & (F.col("b_n") >= least * F.col("n") - 1e-9) & (F.col("n") >= least * F.col("b_n") - 1e-9))
+    near = near.select(F.col("key").alias("a"), "b").distinct()
+    both = near.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
+    score = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
+    return both.select("a", "b", score.alias("score")).where(F.col("score") >= least)
+
+
+def threads(items: DataFrame, least: float, noise: float) -> DataFrame:
+    """(key, thread) of keys (key, item) linked by Jaccard pairs, in groups of two and more; items that more than a share `noise` of the keys have are left out."""
+    keys = items.agg(F.countDistinct("key").alias("keys"))
+    common = items.groupBy("item").agg(F.count("*").alias("f")).crossJoin(F.broadcast(keys)).where(F.col("f") <= noise * F.col("keys")).select("item")
+    sets = items.join(common, "item", "left_semi").groupBy("key").agg(F.collect_list("item").alias("items"))
+    pairs = cut(jaccard_pairs(sets, least))
+    return components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("key"), F.col("component").alias("thread"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.functions.vectors import dot, normalised
 from tessaline.operators.ranking import top_per_group
+from tessaline.runtime import cut
 
 K1, B = 1.2, 0.75
 
@@ -47,19 +49,60 @@ def bm25(documents: DataFrame, queries: DataFrame, key: str = "doc_id", text: st
     return top_per_group(scores.withColumn("_s", F.round("score", 9)), ["query_id"], [F.col("_s").desc(), F.col(key)], k).drop("_s")
 
 
+#: Queries and vectors of a block of the product: some 16 MB of either at 64 dimensions, and their scores.
+BLOCK_QUERIES, BLOCK_VECTORS = 1_024, 16_384
+
+
+def broadcast_if_small(rows: DataFrame, most: int) -> DataFrame:
+    """A table for a nested-loop join, marked for broadcast after its rows are counted; a larger one is left to the planner's own choice."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query_id, key, similarity, rank) of each query vector's k best, by one scan; zero vectors score 0.
+    """(query_id, key, similarity, rank) of each query vector's k best; zero vectors score 0, a query's own key is left out.
 
-    The queries are a block of a stated set that a task can hold; callers with more ask block by block.
+    A blocked product: both sides are dealt to blocks by a hash, each task multiplies one block of vectors with one of queries and keeps k of each
+    query, so what is shuffled again is k rows per query and block. Vectors of another length than the query's take no part.
     """
-    # Each vector is normalised once, before it meets the queries.
-    units = vectors.select(key, normalised(F.col(vector)).alias("_u"))
-    asked = queries.select("query_id", normalised(F.col("query_vector")).alias("_q"))
-    pairs = units.repartition(key).join(F.broadcast(asked), F.col(key) != F.col("query_id"))
-    scored = pairs.select("query_id", key, dot(F.col("_u"), F.col("_q")).alias("similarity"))
+    kinds = dict(vectors.dtypes)
+    asked = cut(queries.select("query_id", F.col("query_vector").cast("array<double>").alias("q")).where("query_id is not null and q is not null"))
+    base = cut(vectors.select(F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("v")).where("_k is not null and v is not null"))
+    many = max(1, -(-asked.count() // BLOCK_QUERIES))
+    rows = max(1, -(-base.count() // BLOCK_VECTORS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = base.select("_k", "v", F.pmod(F.xxhash64("_k"), F.lit(rows)).cast("int").alias("chunk")).select("*", every(many).alias("block"))
+    right = asked.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(many)).cast("int").alias("block")).select("*", every(rows).alias("chunk"))
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, {key} {kinds[key]}, similarity double"
+
+    def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        columns = ["query_id", key, "similarity"]
+        if x.empty or y.empty:
+            return pd.DataFrame({c: [] for c in columns})
+        out = []
+        for size, part in y.groupby(y.q.map(len)):
+            mine = x[x.v.map(len) == size].sort_values("_k")
+            if mine.empty:
+                continue
+            a, b = _units(np.stack(mine.v.to_numpy())), _units(np.stack(part.q.to_numpy()))
+            score = b @ a.T
+            score[part.query_id.to_numpy()[:, None] == mine["_k"].to_numpy()[None, :]] = -np.inf
+            # Ties go to the smaller key: keys ascend, and the sort is stable.
+            order = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
+            at = np.repeat(np.arange(len(part)), order.shape[1])
+            found = pd.DataFrame({"query_id": part.query_id.to_numpy()[at], key: mine["_k"].to_numpy()[order.ravel()], "similarity": score[at, order.ravel()]})
+            out.append(found[np.isfinite(found.similarity)])
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in columns})
+
+    scored = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(multiply, schema)
     return top_per_group(scored.withColumn("_s", F.round("similarity", 9)), ["query_id"], [F.col("_s").desc(), F.col(key)], k).drop("_s")
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
 def fused(lexical: DataFrame, vector: DataFrame, key: str, weights: tuple[float, float]) -> DataFrame:
     """(query_id, key, score) of two scored lists, each scaled by its best score; a missing leg counts 0."""
     def scaled(df: DataFrame, score: str, name: str) -> DataFrame:

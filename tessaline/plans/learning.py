@@ -126,13 +126,13 @@ def t22_behaviour_change(spark: SparkSession, base: str) -> DataFrame:
     return rows.where("before <> event_type and gap >= 3600000000").select("event_id")
 
 
-@REGISTRY.query("w13_credit", "SELECT event_id, round(sum(value / 100.0 * pow(0.7, back)), 4) AS credit FROM (SELECT a.event_id, b.value, a.k - b.k AS back FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) a JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) b ON a.user_id = b.user_id AND b.k BETWEEN a.k - 4 AND a.k) GROUP BY 1")
+@REGISTRY.query("w13_credit", "SELECT event_id, round(sum(value / 100.0 * pow(0.7, back)), 9) AS credit FROM (SELECT a.event_id, b.value, a.k - b.k AS back FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) a JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) b ON a.user_id = b.user_id AND b.k BETWEEN a.k - 4 AND a.k) GROUP BY 1")
 def w13_credit(spark: SparkSession, base: str) -> DataFrame:
     """Discounted credit over the last five turns: lags of one window, no join."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, base, "events").select("event_id", *[F.lag("value", k).over(w).alias(f"v{k}") for k in range(5)])
     total = sum((F.coalesce(F.col(f"v{k}"), F.lit(0.0)) / 100.0 * 0.7**k for k in range(1, 5)), F.col("v0") / 100.0)
-    return rows.select("event_id", F.round(total, 4).alias("credit"))
+    return rows.select("event_id", F.round(total, 9).alias("credit"))
 
 
 @REGISTRY.query("z34_age_factor", f"SELECT memory_id, CASE WHEN d < 1 THEN 0.8 WHEN d < 7 THEN 0.9 WHEN d < 30 THEN 1.0 ELSE 1.1 END::DOUBLE AS factor FROM (SELECT memory_id, (epoch_us({_NOW}) - epoch_us(updated_at)) / 86400e6 AS d FROM mif_memories WHERE updated_at IS NOT NULL)")
