@@ -50,3 +50,20 @@ def box(lat: float, lon: float, radius: float, at_lat: Column, at_lon: Column) -
     if abs(lat) + high >= 90 or lon - wide < -180 or lon + wide > 180:
         return inside
     return inside & at_lon.between(lon - wide, lon + wide)
+
+
+def decoded(cell: Column, precision: int) -> tuple[Column, Column, Column, Column]:
+    """(south, north, west, east) of the box of a geohash of `precision` letters."""
+    bits = 5 * precision
+    row = column = F.lit(0).cast("bigint")
+    for k in range(precision):
+        value = (F.instr(F.lit(ALPHABET), F.substring(cell, k + 1, 1)) - 1).cast("bigint")
+        for b in range(5):
+            bit = F.shiftright(value, 4 - b).bitwiseAND(F.lit(1).cast("bigint"))
+            if (5 * k + b) % 2 == 0:
+                column = column * 2 + bit
+            else:
+                row = row * 2 + bit
+    high, wide = 180.0 / (1 << (bits // 2)), 360.0 / (1 << ((bits + 1) // 2))
+    south, west = row * high - 90.0, column * wide - 180.0
+    return south, south + high, west, west + wide

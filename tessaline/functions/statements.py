@@ -38,20 +38,21 @@ def structural(name: Column) -> Column:
 
 STRUCTURAL_SQL = f"regexp_matches(item, '{STRUCTURE}')"
 
-#: Kinds of facts by their words, first match wins.
-FACT_KINDS = (
-    ("preference", "prefer|likes|wants to|rather than"),
-    ("procedure", "first|then|only then|step|before"),
-    ("definition", " is a | are | means | refers to "),
-    ("pattern", "always|usually|every|mostly|whenever"),
+# Kinds of facts by their words, first match wins.
+FACT_WORDS = (
+    ("preference", ("prefer", "like", "always", "never", "favorite")),
+    ("capability", ("can ", "able to", "supports")),
+    ("relationship", ("relates to", "depends on", "connects")),
+    ("procedure", ("to ", "run ", "execute", "deploy")),
+    ("definition", (" is ", " are ", "means")),
 )
 
 
 def fact_kind(text: Column) -> Column:
-    out = F.lit("salient")
-    for name, pattern in reversed(FACT_KINDS):
-        out = F.when(F.lower(text).rlike(pattern), name).otherwise(out)
+    low, out = F.lower(text), F.lit("pattern")
+    for name, words in reversed(FACT_WORDS):
+        met = F.lit(False)
+        for w in words:
+            met = met | low.contains(w)
+        out = F.when(met, name).otherwise(out)
     return out
-
-
-FACT_KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(content), '{p}') THEN '{k}'" for k, p in FACT_KINDS) + " ELSE 'salient' END"

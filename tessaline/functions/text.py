@@ -7,8 +7,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Whole-word markers of negation; an even number cancels out.
-NEGATIONS = ("not", "no", "never", "none", "neither", "nor", "cannot", "without", "nothing", "nobody")
+# Whole-word markers of negation; an even number cancels out.
+NEGATIONS = (
+    "not", "n't", "never", "no", "none", "neither", "nor", "cannot", "can't", "won't", "don't", "doesn't", "didn't", "shouldn't", "wouldn't", "couldn't", "isn't", "aren't", "wasn't", "weren't", "hasn't", "haven't", "hadn't",
+)
 
 
 def content_hash(text: Column) -> Column:
@@ -52,26 +54,9 @@ def contains_ignoring_case(text: Column, part: str) -> Column:
 def is_positive(text: Column) -> Column:
     """Whether the number of negation markers is even."""
     words = F.split(F.lower(text), "[^a-z']+")
-    return F.size(F.filter(words, lambda w: w.isin(*NEGATIONS) | w.endswith("n't"))) % 2 == 0
+    return F.size(F.filter(words, lambda w: w.isin(*NEGATIONS))) % 2 == 0
 
 
 def token_estimate(text: Column) -> Column:
     """A quarter of the bytes, rounded up."""
     return F.ceil(F.octet_length(text) / 4.0).cast("bigint")
-
-
-#: Kinds of statements, first match wins.
-KINDS = (
-    ("error", "error|failed|failure|timeout|exception|stalled"),
-    ("decision", "decision|decided|chose|keeps"),
-    ("learning", "learned|realised|found out|discovered"),
-    ("task", "todo|must|do not|should"),
-    ("observation", "observed|measured|mapped|logged"),
-)
-
-
-def kind(text: Column) -> Column:
-    out = F.lit("note")
-    for name, pattern in reversed(KINDS):
-        out = F.when(F.lower(text).rlike(pattern), name).otherwise(out)
-    return out

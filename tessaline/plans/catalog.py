@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaline.plans import analytics, filters, flows, graphs, knowledge, learning, memories, mutations, problems, surfaces, tasks
+from tessaline.plans import analytics, filters, flows, graphs, knowledge, language, learning, memories, mutations, problems, surfaces, tasks
 from tessaline.plans.registry import Registry
 
-MODULES = (problems, memories, filters, mutations, analytics, flows, knowledge, surfaces, graphs, learning, tasks)
+MODULES = (problems, memories, filters, mutations, analytics, flows, knowledge, surfaces, graphs, learning, tasks, language)
 
 
 def registry() -> Registry:

@@ -21,8 +21,11 @@ _M = "WITH m AS (SELECT DISTINCT ON (memory_id) * FROM remember_requests) "
 _DAYS = f"((epoch_us({_AS_OF}) - epoch_us(created_at)) / 86400e6)"
 
 
-def memories(spark: SparkSession, base: str) -> DataFrame:
-    return scans.latest(table(spark, base, "remember_requests"))
+def memories(spark: SparkSession, base: str, where=None) -> DataFrame:
+    """One row of each memory. A predicate is given as `where`, so that it comes before the deduplication and reaches the scan: redelivered rows
+    differ in the time of receipt alone."""
+    rows = table(spark, base, "remember_requests")
+    return scans.latest(rows if where is None else rows.where(where))
 
 
 def _scan(name: str, where_sql: str, f: scans.MemoryFilter | None = None, where=None) -> None:
@@ -77,7 +80,7 @@ def s07_content_hash(spark: SparkSession, base: str) -> DataFrame:
 
 @REGISTRY.query("s14_episode_sequence", _M + "SELECT memory_id, episode_id, sequence_number FROM m WHERE episode_id IS NOT NULL AND sequence_number BETWEEN 5 AND 20")
 def s14_episode_sequence(spark: SparkSession, base: str) -> DataFrame:
-    rows = memories(spark, base).where("episode_id is not null and sequence_number between 5 and 20")
+    rows = memories(spark, base, "episode_id is not null and sequence_number between 5 and 20")
     return rows.orderBy("episode_id", "sequence_number", "memory_id").select("memory_id", "episode_id", "sequence_number")
 
 
@@ -114,7 +117,7 @@ def d03_idempotent_insert(spark: SparkSession, base: str) -> DataFrame:
 SELECT external_id, last(memory_id ORDER BY created_at, memory_id) AS memory_id, count(*) AS version FROM m
 WHERE external_id IS NOT NULL AND created_at IS NOT NULL GROUP BY 1""")
 def d05_upsert_external_id(spark: SparkSession, base: str) -> DataFrame:
-    rows = memories(spark, base).where("external_id is not null and created_at is not null")
+    rows = memories(spark, base, "external_id is not null and created_at is not null")
     return rows.groupBy("external_id").agg(F.max_by("memory_id", F.struct("created_at", "memory_id")).alias("memory_id"), F.count("*").alias("version"))
 
 
@@ -178,13 +181,13 @@ def _score(name: str, column, sql: str) -> None:
 
 _imp, _c = lambda: F.col("importance").cast("double"), F.col
 _score("l01_forgetting_curve", lambda: scoring.forgetting_curve(_c("days") / 30), "CASE WHEN days/30 <= 0 THEN 1.0 WHEN days/30 < 3 THEN exp(-0.693 * (days/30)) ELSE exp(-0.693 * 3.0) * pow((days/30) / 3.0, -0.5) END")
-_score("l03_tier_decay", lambda: scoring.tier_decay(F.lit(0.8), _c("days"), "L2"), "CASE WHEN days / 24.0 > 30 THEN 0.001 ELSE greatest(0.8 * exp(-0.031 * (days / 24.0)), 0.001) END")
+_score("l03_tier_decay", lambda: scoring.tier_decay(F.lit(0.8), _c("days") / 20 * 24, "L2"), "CASE WHEN days / 20 > 30 THEN 0.001 ELSE greatest(0.8 * exp(-0.031 * (days / 20)), 0.001) END")
 _score("l09_salience", lambda: scoring.salience(_c("days"), _imp()), "0.6 * CASE WHEN days <= 7 THEN 1.0 WHEN days <= 30 THEN 0.7 WHEN days <= 90 THEN 0.4 ELSE 0.1 END::DOUBLE + 0.4::DOUBLE * importance::DOUBLE")
 _score("l14_half_life", lambda: scoring.half_life_decay(_imp(), _c("days") / 100), "CASE WHEN days / 100 <= 0.1 THEN importance::DOUBLE ELSE importance::DOUBLE * pow(0.5, days / 100 / 14) END")
 _score(
     "l11_unified_score",
-    lambda: scoring.unified(F.lit(1.0), F.coalesce(_imp(), F.lit(0.5)), _c("days"), F.lit(0.2), F.coalesce(F.when(~F.isnan("credibility"), _c("credibility").cast("double")), F.lit(0.5)), scoring.temporal_match(_c("days") - 400), F.lit(1.0)),
-    """1.0 * (0.7 + 0.3 * coalesce(importance::DOUBLE, 0.5)) * least(2.5, 1 + 0.5 * exp(-0.01 * days) + 0.15 * 0.2
+    lambda: scoring.unified(F.lit(1.0), F.coalesce(_imp(), F.lit(0.5)), _c("days") * 24, F.lit(0.2), F.coalesce(F.when(~F.isnan("credibility"), _c("credibility").cast("double")), F.lit(0.5)), scoring.temporal_match(_c("days") - 400), F.lit(1.0)),
+    """1.0 * (0.7 + 0.3 * coalesce(importance::DOUBLE, 0.5)) * least(2.5, 1 + 0.5 * exp(-0.01 * days * 24) + 0.15 * 0.2
       + 0.2 * greatest(coalesce(CASE WHEN NOT isnan(credibility) THEN credibility::DOUBLE END, 0.5) - 0.5, 0)
       + CASE WHEN abs(days - 400) = 0 THEN 0.5 WHEN abs(days - 400) <= 7 THEN 0.3 * (1 - abs(days - 400) / 7) WHEN abs(days - 400) <= 30 THEN 0.1 * (1 - abs(days - 400) / 30) ELSE 0.0 END)""",
 )
@@ -201,7 +204,7 @@ def l05_hebbian_steps(spark: SparkSession, base: str) -> DataFrame:
 def c16_promotion(spark: SparkSession, base: str) -> DataFrame:
     days = scoring.age_days(F.col("created_at"), F.lit(AS_OF))
     tier = F.when((_imp() >= 0.5) & (days >= 1), "LongTerm").when((_imp() >= 0.35) & (days >= 1800 / 86400.0), "Session").otherwise("Working")
-    return memories(spark, base).where("created_at is not null").groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
+    return memories(spark, base, "created_at is not null").groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
 
 
 @REGISTRY.query("c06_replay_candidates", _M + """, d AS (
@@ -229,47 +232,37 @@ def x12_geohash(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("memory_id", places.geohash(at(0), at(1), 6).alias("cell"))
 
 
-@REGISTRY.query("n06_kinds", "SELECT memory_id, CASE WHEN regexp_matches(lower(content), 'error|failed|failure|timeout|exception|stalled') THEN 'error' WHEN regexp_matches(lower(content), 'decision|decided|chose|keeps') THEN 'decision' WHEN regexp_matches(lower(content), 'learned|realised|found out|discovered') THEN 'learning' WHEN regexp_matches(lower(content), 'todo|must|do not|should') THEN 'task' WHEN regexp_matches(lower(content), 'observed|measured|mapped|logged') THEN 'observation' ELSE 'note' END AS kind FROM (SELECT DISTINCT memory_id, content FROM remember_requests)")
-def n06_kinds(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "remember_requests").select("memory_id", "content").distinct().select("memory_id", text.kind(F.col("content")).alias("kind"))
-
-
 @REGISTRY.query("n10_hashes", "SELECT id, sha256(content) AS exact, sha256(trim(regexp_replace(lower(content), '\\s+', ' ', 'g'), ' ')) AS normalised, ceil(octet_length(encode(content)) / 4.0)::BIGINT AS tokens FROM smoke_corpus WHERE content IS NOT NULL")
 def n10_hashes(spark: SparkSession, base: str) -> DataFrame:
     c = F.col("content")
     return table(spark, base, "smoke_corpus").where("content is not null").select("id", text.content_hash(c).alias("exact"), text.normalised_hash(c).alias("normalised"), text.token_estimate(c).alias("tokens"))
 
 
-@REGISTRY.query("n25_polarity", "SELECT id, len(list_filter(string_split_regex(lower(content), '[^a-z'']+'), lambda w: w IN ('not','no','never','none','neither','nor','cannot','without','nothing','nobody') OR ends_with(w, 'n''t'))) % 2 = 0 AS positive FROM smoke_corpus WHERE content IS NOT NULL")
-def n25_polarity(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "smoke_corpus").where("content is not null").select("id", text.is_positive(F.col("content")).alias("positive"))
-
-
 @REGISTRY.query("w05_user_sessions", _M + """, o AS (
   SELECT user_id, memory_id, created_at, CASE WHEN lag(created_at) OVER w IS NULL OR (epoch_us(created_at) - epoch_us(lag(created_at) OVER w)) / 1e6 > 86400 THEN 1 ELSE 0 END AS b
   FROM m WHERE created_at IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY created_at, memory_id)
 ), s AS (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY created_at, memory_id ROWS UNBOUNDED PRECEDING) AS session FROM o)
 SELECT user_id, session::BIGINT AS session, count(*) AS n FROM s GROUP BY ALL HAVING count(*) >= 2""")
 def w05_user_sessions(spark: SparkSession, base: str) -> DataFrame:
-    rows = memories(spark, base).where("created_at is not null").select("user_id", "memory_id", "created_at")
+    rows = memories(spark, base, "created_at is not null").select("user_id", "memory_id", "created_at")
     return ranking.sessions(rows, ["user_id"], "created_at", "memory_id", 86_400).groupBy("user_id", "session").agg(F.count("*").alias("n")).where("n >= 2")
 
 
 @REGISTRY.query("w10_last_per_user", _M + "SELECT user_id, memory_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, memory_id) AS rank FROM m WHERE created_at IS NOT NULL QUALIFY rank <= 5")
 def w10_last_per_user(spark: SparkSession, base: str) -> DataFrame:
-    rows = memories(spark, base).where("created_at is not null").select("user_id", "memory_id", "created_at")
+    rows = memories(spark, base, "created_at is not null").select("user_id", "memory_id", "created_at")
     return ranking.top_per_group(rows, ["user_id"], [F.col("created_at").desc(), F.col("memory_id")], 5).drop("created_at")
 
 
 @REGISTRY.query("w15_sequence_numbers", _M + "SELECT memory_id, row_number() OVER (PARTITION BY user_id, mission_id ORDER BY created_at, memory_id) AS seq FROM m WHERE mission_id IS NOT NULL AND created_at IS NOT NULL")
 def w15_sequence_numbers(spark: SparkSession, base: str) -> DataFrame:
-    rows = memories(spark, base).where("mission_id is not null and created_at is not null")
+    rows = memories(spark, base, "mission_id is not null and created_at is not null")
     return rows.select("memory_id", F.row_number().over(W.partitionBy("user_id", "mission_id").orderBy("created_at", "memory_id")).alias("seq"))
 
 
 @REGISTRY.query("k07_mission_replay", _M + "SELECT mission_id, string_agg(memory_id, ',' ORDER BY created_at, memory_id) AS replay FROM m WHERE mission_id IS NOT NULL AND created_at IS NOT NULL GROUP BY 1")
 def k07_mission_replay(spark: SparkSession, base: str) -> DataFrame:
-    rows = memories(spark, base).where("mission_id is not null and created_at is not null")
+    rows = memories(spark, base, "mission_id is not null and created_at is not null")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("created_at", "memory_id"))), lambda x: x["memory_id"])
     return rows.groupBy("mission_id").agg(F.array_join(ordered, ",").alias("replay"))
 
@@ -297,7 +290,7 @@ FROM m a JOIN m b ON a.episode_id = b.episode_id AND a.created_at < b.created_at
 WHERE a.episode_id IS NOT NULL AND list_has_any(list_transform(a.tags, lambda t: lower(t)), list_transform(b.tags, lambda t: lower(t)))""")
 def j09_lineage(spark: SparkSession, base: str) -> DataFrame:
     """Pairs of one episode within a fortnight that share a tag: an equi-join on (episode, tag), then the interval."""
-    rows = memories(spark, base).where("episode_id is not null and created_at is not null").select("memory_id", "memory_type", "episode_id", "created_at", F.explode("tags").alias("t"))
+    rows = memories(spark, base, "episode_id is not null and created_at is not null").select("memory_id", "memory_type", "episode_id", "created_at", F.explode("tags").alias("t"))
     rows = rows.withColumn("t", F.lower("t")).distinct()
     later = rows.select("episode_id", "t", F.col("memory_id").alias("to_id"), F.col("created_at").alias("then"))
     near = (F.col("created_at") < F.col("then")) & (F.unix_micros("then") - F.unix_micros("created_at") <= 14 * 86_400_000_000)

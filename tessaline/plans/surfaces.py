@@ -44,13 +44,13 @@ def q02_session_list(spark: SparkSession, base: str) -> DataFrame:
 
 @REGISTRY.query("k08_best_rewards", _M + "SELECT memory_id, action_type, reward::DOUBLE AS reward FROM m WHERE action_type IS NOT NULL AND NOT isnan(reward) AND reward >= 0 QUALIFY row_number() OVER (PARTITION BY action_type ORDER BY reward DESC, memory_id) <= 5")
 def k08_best_rewards(spark: SparkSession, base: str) -> DataFrame:
-    rows = memories(spark, base).where("action_type is not null and not isnan(reward) and reward >= 0").select("memory_id", "action_type", F.col("reward").cast("double").alias("reward"))
+    rows = memories(spark, base, "action_type is not null and not isnan(reward) and reward >= 0").select("memory_id", "action_type", F.col("reward").cast("double").alias("reward"))
     return ranking.top_per_group(rows, ["action_type"], [F.col("reward").desc(), F.col("memory_id")], 5).drop("rank")
 
 
 @REGISTRY.query("x19_sensor_means", _M + ", s AS (SELECT robot_id, unnest(map_entries(sensor_data)) AS e FROM m WHERE robot_id IS NOT NULL AND sensor_data IS NOT NULL) SELECT robot_id, e.key AS sensor, count(*) AS n, round(avg(e.value), 6) AS mean FROM s WHERE isfinite(e.value) GROUP BY ALL")
 def x19_sensor_means(spark: SparkSession, base: str) -> DataFrame:
-    rows = memories(spark, base).where("robot_id is not null").select("robot_id", F.explode("sensor_data").alias("sensor", "value"))
+    rows = memories(spark, base, "robot_id is not null").select("robot_id", F.explode("sensor_data").alias("sensor", "value"))
     finite = rows.where(~F.isnan("value") & (F.abs("value") < float("inf")))
     return finite.groupBy("robot_id", "sensor").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
