@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from tessaline.operators.ranking import top_per_group
 from tessaline.operators.retrieval import cosine_top
-from tessaline.runtime import cut
+from tessaline.runtime import cut, nothing
 
 #: Vectors that centroids and codebooks are fitted to, chosen by a hash of the id.
 SAMPLE = 65_536
@@ -86,7 +86,7 @@ def probed(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, p
 
     def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return pd.DataFrame({"query_id": [], key: [], "similarity": []})
+            return nothing("query_id", key, "similarity")
         x = x.sort_values(key)
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         s = unit(np.stack(y.q.to_numpy())) @ unit(np.stack(x[vector].to_numpy())).T
@@ -154,7 +154,7 @@ def by_table(codes: DataFrame, queries: DataFrame, books: np.ndarray, key: str,
 
     def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return pd.DataFrame({"query_id": [], key: [], "distance": []})
+            return nothing("query_id", key, "distance")
         x = x.sort_values(key)
         c = np.frombuffer(b"".join(x.codes), np.uint8).reshape(len(x), -1)
         out = []
@@ -245,7 +245,7 @@ def pairs_within(rows: DataFrame, key: str, label: str, vector: str, least: floa
 
     def multiply(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if p.empty or q.empty:
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+            return nothing("a", "b", "similarity")
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         s = unit(np.stack(p.v.to_numpy())) @ unit(np.stack(q.w.to_numpy())).T
         i, j = np.nonzero(s >= least)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaline.operators.ranking import top_per_group
-from tessaline.runtime import cut
+from tessaline.runtime import cut, nothing
 
 K1, B = 1.2, 0.75
 
@@ -78,7 +78,7 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k:
     def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", key, "similarity"]
         if x.empty or y.empty:
-            return pd.DataFrame({c: [] for c in columns})
+            return nothing(*columns)
         out = []
         for size, part in y.groupby(y.q.map(len)):
             mine = x[x.v.map(len) == size].sort_values("_k")
@@ -92,7 +92,7 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k:
             at = np.repeat(np.arange(len(part)), order.shape[1])
             found = pd.DataFrame({"query_id": part.query_id.to_numpy()[at], key: mine["_k"].to_numpy()[order.ravel()], "similarity": score[at, order.ravel()]})
             out.append(found[np.isfinite(found.similarity)])
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in columns})
+        return pd.concat(out) if out else nothing(*columns)
 
     scored = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(multiply, schema)
     return top_per_group(scored.withColumn("_s", F.round("similarity", 9)), ["query_id"], [F.col("_s").desc(), F.col(key)], k).drop("_s")

@@ -6,6 +6,7 @@ import os
 import tempfile
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: What a session of ours sets when it starts one itself. A cluster's own settings win.
@@ -65,3 +66,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(2, int(spark.sparkContext.defaultParallelism))
+
+
+def nothing(*columns: str) -> pd.DataFrame:
+    """No rows, in columns that take any type: pandas takes an empty list for numbers, which don't go back as text."""
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
