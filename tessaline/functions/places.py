@@ -67,3 +67,28 @@ def decoded(cell: Column, precision: int) -> tuple[Column, Column, Column, Colum
     high, wide = 180.0 / (1 << (bits // 2)), 360.0 / (1 << ((bits + 1) // 2))
     south, west = row * high - 90.0, column * wide - 180.0
     return south, south + high, west, west + wide
+
+
+# Widths of cells of one to nine letters, in metres.
+WIDTHS = (5_009_400.0, 1_252_300.0, 156_500.0, 39_100.0, 4_900.0, 1_200.0, 152.9, 38.2, 4.8)
+
+
+def letters_for(radius: Column) -> Column:
+    """The letters of the first cells not wider than a circle; null for a radius that isn't above 0."""
+    out = F.lit(10)
+    for k, width in reversed(list(enumerate(WIDTHS))):
+        out = F.when(F.lit(width) <= 2 * radius, k + 1).otherwise(out)
+    return F.when(radius > 0, out)
+
+
+def cells_around(lat: Column, lon: Column, precision: int) -> Column:
+    """The cell of a place and its eight neighbours: around the date line, not over a pole."""
+    bits = 5 * precision
+    high, wide = 180.0 / (1 << (bits // 2)), 360.0 / (1 << ((bits + 1) // 2))
+    cells = []
+    for i in (-1, 0, 1):
+        for j in (-1, 0, 1):
+            y = F.least(F.greatest(lat + i * high, F.lit(-90.0)), F.lit(90.0))
+            x = (lon + j * wide + 540.0) % 360.0 - 180.0
+            cells.append(geohash(y, x, precision))
+    return F.array(*cells)

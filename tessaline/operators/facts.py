@@ -32,3 +32,18 @@ def contradictions(facts: DataFrame) -> DataFrame:
     yes = keyed.where("positive").select("bare", F.col("fact").alias("affirmed"))
     no = keyed.where("not positive").select("bare", F.col("fact").alias("denied"))
     return yes.join(no, "bare").select("affirmed", "denied")
+
+
+def alike(stated: DataFrame, cosine: float, jaccard: float, same_polarity: bool) -> DataFrame:
+    """(a, b, cosine), a < b, of facts (fact, user_id, content, names, v) of one user that share a name, have the same polarity or the opposite one, and reach
+    both thresholds. Joined on (user, name): facts without a common name never meet."""
+    from tessaline.functions import vectors
+
+    words = F.array_distinct(F.filter(F.split(F.lower("content"), r"[ \t\n\r]+"), lambda w: w != ""))
+    rows = stated.where("v is not null").select("fact", "user_id", "names", "v", words.alias("w"), text.is_positive(F.col("content")).alias("yes"))
+    keyed = rows.select("fact", "user_id", F.explode("names").alias("n"))
+    pairs = keyed.withColumnRenamed("fact", "a").join(keyed.withColumnRenamed("fact", "b"), ["user_id", "n"]).where("a < b").select("a", "b").distinct()
+    side = lambda s: rows.select(F.col("fact").alias(s), F.col("v").alias(f"v_{s}"), F.col("w").alias(f"w_{s}"), F.col("yes").alias(f"yes_{s}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("cosine", vectors.cosine(F.col("v_a"), F.col("v_b")))
+    sign = F.col("yes_a") == F.col("yes_b") if same_polarity else F.col("yes_a") != F.col("yes_b")
+    return met.where(sign & (F.col("cosine") >= cosine) & (text.jaccard(F.col("w_a"), F.col("w_b")) >= jaccard)).select("a", "b", "cosine")

@@ -210,9 +210,8 @@ def greedy(rows: DataFrame, edges: DataFrame, queries: DataFrame, key: str, vect
     from tessaline.functions.vectors import cosine
 
     rows = rows.select(key, vector)
-    # The walks begin at the members nearest to the means of a few cells.
-    placed, _ = partitioned(rows, key, vector, 8)
-    entry = medoids(placed.withColumn("cell", F.col("cell")), key, "cell", vector).select(key)
+    # The walks begin at the best of the members nearest to the means of the cells, the root of n of them.
+    entry = cut(medoids(partitioned(rows, key, vector)[0], key, "cell", vector).select(key))
     score = lambda pairs: pairs.join(rows, key).join(queries, "query_id").select("query_id", key, F.round(cosine(F.col(vector), F.col("query_vector")), 9).alias("s"))
     pool = cut(score(queries.select("query_id").crossJoin(F.broadcast(entry))).withColumn("open", F.lit(True)))
     for _ in range(rounds):

@@ -19,31 +19,33 @@ def prefix_size(n: Column, least: float) -> Column:
 
 
 def _ranked(sets: DataFrame, key: str, words: str, frequency: DataFrame) -> DataFrame:
-    rows = sets.select(key, F.size(words).alias("n"), F.explode(words).alias("w")).join(frequency, "w")
-    return rows.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("f", "w")))
+    """(key, _n, _w, _rank): the words of each set in the order of rising frequency."""
+    rows = sets.select(key, F.size(words).alias("_n"), F.explode(words).alias("_w")).join(frequency, "_w")
+    return rows.withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy("_f", "_w")))
 
 
 def dice_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float) -> DataFrame:
     """(left_key, right_key, score) with 2 |a n b| / (|a| + |b|) >= least; `left` has (key, a), `right` (key, b), distinct words. Keys are unique."""
-    left, right = cut(left.where(F.size("a") > 0)), cut(right.where(F.size("b") > 0))
-    frequency = cut(right.select(F.explode("b").alias("w")).unionByName(left.select(F.explode("a").alias("w"))).groupBy("w").agg(F.count("*").alias("f")))
+    left = cut(left.where(F.size("a") > 0).select(F.col(left_key).alias("_left"), "a"))
+    right = cut(right.where(F.size("b") > 0).select(F.col(right_key).alias("_right"), "b"))
+    frequency = cut(right.select(F.explode("b").alias("_w")).unionByName(left.select(F.explode("a").alias("_w"))).groupBy("_w").agg(F.count("*").alias("_f")))
     share = least / (2 - least)
-    head = lambda rows: rows.where(F.col("r") <= prefix_size(F.col("n"), share))
-    a = head(_ranked(left, left_key, "a", frequency)).select(left_key, F.col("n").alias("a_n"), "w")
-    b = head(_ranked(right, right_key, "b", frequency)).select(right_key, F.col("n").alias("b_n"), "w")
-    near = a.join(b, "w").where((F.col("b_n") >= share * F.col("a_n") - 1e-9) & (F.col("a_n") >= share * F.col("b_n") - 1e-9)).select(left_key, right_key).distinct()
-    both = near.join(left, left_key).join(right, right_key)
+    head = lambda rows: rows.where(F.col("_rank") <= prefix_size(F.col("_n"), share))
+    a = head(_ranked(left, "_left", "a", frequency)).select("_left", F.col("_n").alias("_a"), "_w")
+    b = head(_ranked(right, "_right", "b", frequency)).select("_right", F.col("_n").alias("_b"), "_w")
+    near = a.join(b, "_w").where((F.col("_b") >= share * F.col("_a") - 1e-9) & (F.col("_a") >= share * F.col("_b") - 1e-9)).select("_left", "_right").distinct()
+    both = near.join(left, "_left").join(right, "_right")
     score = 2.0 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b"))
-    return both.select(left_key, right_key, score.alias("score")).where(F.col("score") >= least)
+    return both.select(F.col("_left").alias(left_key), F.col("_right").alias(right_key), score.alias("score")).where(F.col("score") >= least)
 
 
 def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
     """(a, b, score), a < b, of keys whose sets (key, items) have a Jaccard similarity of `least` and more; joined on the rarest items only."""
     sets = cut(sets.where(F.size("items") > 0))
-    frequency = cut(sets.select(F.explode("items").alias("w")).groupBy("w").agg(F.count("*").alias("f")))
-    head = cut(_ranked(sets, "key", "items", frequency).where(F.col("r") <= prefix_size(F.col("n"), least)).select("key", "n", "w"))
-    other = head.select(F.col("key").alias("b"), F.col("n").alias("b_n"), "w")
-    near = head.join(other, "w").where((F.col("key") < F.col("b")) & (F.col("b_n") >= least * F.col("n") - 1e-9) & (F.col("n") >= least * F.col("b_n") - 1e-9))
+    frequency = cut(sets.select(F.explode("items").alias("_w")).groupBy("_w").agg(F.count("*").alias("_f")))
+    head = cut(_ranked(sets, "key", "items", frequency).where(F.col("_rank") <= prefix_size(F.col("_n"), least)).select("key", "_n", "_w"))
+    other = head.select(F.col("key").alias("b"), F.col("_n").alias("_b"), "_w")
+    near = head.join(other, "_w").where((F.col("key") < F.col("b")) & (F.col("_b") >= least * F.col("_n") - 1e-9) & (F.col("_n") >= least * F.col("_b") - 1e-9))
     near = near.select(F.col("key").alias("a"), "b").distinct()
     both = near.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
     score = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
