@@ -1,4 +1,4 @@
-"""From repeated statements to facts: candidates, counts of equal sentences, contradictions, decay. Variants of a statement aren't clustered."""
+"""From repeated statements to facts: candidates, counts of equal sentences, facts that say the same or the opposite. Variants are clustered by `clusters`."""
 
 from __future__ import annotations
 
@@ -22,18 +22,6 @@ def distilled(found: DataFrame, support: int = 2) -> DataFrame:
     return counted.withColumn("confidence", 1 - F.pow(F.lit(0.9), F.col("support").cast("double")))
 
 
-def negation_free(fact):
-    return F.regexp_replace(fact, r"\b(not|no|never)\b ?", "")
-
-
-def contradictions(facts: DataFrame) -> DataFrame:
-    """(positive, negative): facts that differ in their markers of negation only, of opposite polarity."""
-    keyed = facts.select("fact", negation_free(F.col("fact")).alias("bare"), text.is_positive(F.col("fact")).alias("positive"))
-    yes = keyed.where("positive").select("bare", F.col("fact").alias("affirmed"))
-    no = keyed.where("not positive").select("bare", F.col("fact").alias("denied"))
-    return yes.join(no, "bare").select("affirmed", "denied")
-
-
 def alike(stated: DataFrame, cosine: float, jaccard: float, same_polarity: bool) -> DataFrame:
     """(a, b, cosine), a < b, of facts (fact, user_id, content, names, v) of one user that share a name, have the same polarity or the opposite one, and reach
     both thresholds. Joined on (user, name): facts without a common name never meet."""

@@ -241,8 +241,8 @@ def in_regions(points: DataFrame, regions: dict[str, list[tuple[float, float]]],
 
     A point on a border belongs to the region when the even-odd rule of a ray towards greater longitude says so. The
     polygons are a parameter of the query, so their edges travel with the task; points stay where they are and nothing
-    is shuffled. Within a batch points and edges are swept by latitude, and only edges that the sweep line crosses
-    are compared.
+    is shuffled. Within a batch points and edges are swept by latitude: each edge is compared with the points that the sweep line
+    meets between its ends, all at once.
     """
     names = list(regions)
     edges = []
@@ -257,26 +257,16 @@ def in_regions(points: DataFrame, regions: dict[str, list[tuple[float, float]]],
         for batch in batches:
             lat, lon = batch.lat.to_numpy(float), batch.lon.to_numpy(float)
             order = np.argsort(lat, kind="stable")
-            rows: list[int] = []
-            where: list[int] = []
-            active: list[np.ndarray] = []
-            nxt = 0
-            for r in order:
-                y, x = lat[r], lon[r]
-                if not (np.isfinite(y) and np.isfinite(x)):
-                    continue
-                while nxt < len(table) and table[nxt, 0] <= y:
-                    active.append(table[nxt])
-                    nxt += 1
-                active = [e for e in active if e[1] > y]
-                if active:
-                    e = np.array(active)
-                    cross = e[:, 2] + (y - e[:, 0]) / (e[:, 1] - e[:, 0]) * (e[:, 3] - e[:, 2])
-                    hits = np.bincount(e[cross > x, 4].astype(int), minlength=len(names))
-                    inside = np.flatnonzero(hits % 2)
-                    rows += [r] * len(inside)
-                    where += inside.tolist()
-            yield pd.DataFrame({"pid": batch.pid.iloc[rows].astype(object), "region": [names[k] for k in where]})
+            order = order[np.isfinite(lat[order]) & np.isfinite(lon[order])]
+            y, x = lat[order], lon[order]
+            odd = np.zeros((len(names), len(order)), bool)
+            # An edge is met by the points between its ends: a stretch of the sorted batch.
+            first, last = np.searchsorted(y, table[:, 0]), np.searchsorted(y, table[:, 1])
+            for e, i, j in zip(table, first, last, strict=True):
+                if i < j:
+                    odd[int(e[4]), i:j] ^= e[2] + (y[i:j] - e[0]) / (e[1] - e[0]) * (e[3] - e[2]) > x[i:j]
+            where, at = np.nonzero(odd)
+            yield pd.DataFrame({"pid": batch.pid.iloc[order[at]].astype(object), "region": [names[k] for k in where]})
 
     kind = dict(points.dtypes)[point_id]
     out = points.select(F.col(point_id).alias("pid"), F.col("lat").cast("double"), F.col("lon").cast("double")).mapInPandas(

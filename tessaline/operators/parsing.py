@@ -139,16 +139,18 @@ def errors(lines: DataFrame, width: int = len(COLUMNS), rules: Sequence[Rule] =
     """(line_id, reason), one row for each line and reason. The rule table is a literal of a few rows, so it is broadcast."""
     parsed = parse(lines, **columns)
     structure = F.when(~F.col("well_quoted"), "quoting").when(F.size("cells") != width, "column_count")
-    broken = parsed.select(F.col("row_id").alias("line_id"), structure.alias("reason")).where("reason is not null")
-    exploded = parsed.where(structure.isNull()).select(
-        F.col("row_id").alias("line_id"), F.posexplode("cells").alias("column_no", "value")
-    )
-    checked = exploded.join(F.broadcast(rule_table(lines, rules)), "column_no")
+    # A line whose structure fails is one row with its reason (in no column); any other a row for each cell. Only cells that a rule names go on.
+    wanted = sorted({r.column for r in rules})
+    entry = lambda c, value, reason: F.struct(F.lit(c).alias("column_no"), value.alias("value"), reason.alias("failed"))
+    none = F.lit(None).cast("string")
+    entries = F.when(structure.isNotNull(), F.array(entry(-1, none, structure))).otherwise(F.array(*(entry(c, F.get("cells", F.lit(c)), none) for c in wanted)))
+    exploded = parsed.select(F.col("row_id").alias("line_id"), F.explode(entries).alias("e")).select("line_id", "e.*")
+    checked = exploded.join(F.broadcast(rule_table(lines, rules)), "column_no", "left")
     verdict = F.lit(True)
     for kind, holds in VALIDATIONS.items():
         verdict = F.when(F.col("kind") == kind, holds(F.col("value"))).otherwise(verdict)
-    failed = checked.where(~is_blank(F.col("value")) & ~verdict).select("line_id", "reason")
-    return broken.unionByName(failed).groupBy("line_id", "reason").agg(F.count("*").alias("cells")).drop("cells")
+    reason = F.coalesce("failed", F.when(~is_blank(F.col("value")) & ~verdict, F.col("reason")))
+    return checked.select("line_id", reason.alias("reason")).where("reason is not null").distinct()
 
 
 def split_rows(

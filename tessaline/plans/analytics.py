@@ -218,16 +218,6 @@ def g02_entity_lookup(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "find_entity_requests").select("request_id", F.lower(F.trim("entity_name")).alias("n")).join(nodes, "n").select("request_id", "uuid")
 
 
-@REGISTRY.query("a16_hub_entities", """
-WITH e AS (SELECT DISTINCT memory_id, lower(trim(unnest(list_transform(entities, lambda x: x.text)))) AS item FROM mif_memories), n AS (SELECT count(*) AS n FROM mif_memories)
-SELECT item, count(*) AS df FROM e, n WHERE item <> '' GROUP BY item, n HAVING count(*) >= greatest(0.01 * n, 5)""")
-def a16_hub_entities(spark: SparkSession, base: str) -> DataFrame:
-    m = table(spark, base, "mif_memories")
-    n = m.agg(F.count("*").alias("n"))
-    items = m.select("memory_id", F.explode("entities.text").alias("t")).select("memory_id", F.lower(F.trim("t")).alias("item")).where("item <> ''").distinct()
-    return items.groupBy("item").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where(F.col("df") >= F.greatest(0.01 * F.col("n"), F.lit(5))).select("item", "df")
-
-
 @REGISTRY.query("j06_jaccard_in_episode", """
 WITH m AS (SELECT DISTINCT memory_id, episode_id, list_sort(list_distinct(list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda w: length(w) >= 2))) AS t FROM remember_requests WHERE episode_id IS NOT NULL AND content IS NOT NULL)
 SELECT a.memory_id AS a, b.memory_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 6) AS jaccard FROM m a JOIN m b ON a.episode_id = b.episode_id AND a.memory_id < b.memory_id
@@ -268,22 +258,6 @@ def b01_assignment(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "events").select("user_id").distinct().withColumn("bucket", stats.bucket(F.col("user_id"), "ranker"))
 
 
-@REGISTRY.query("m06_metrics", _BM25 + """, g AS (
-  SELECT request_id AS query_id, id AS item, 1 + (length(content) % 3) AS grade FROM recall_requests JOIN smoke_corpus ON lower(left(query_text, 24)) = lower(left(content, 24)) WHERE request_id % 50 = 0
-), i AS (SELECT query_id, count(*) AS g, sum(CASE WHEN r <= 10 THEN grade / log2(r + 1.0) END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, item) AS r FROM g) GROUP BY 1),
-h AS (SELECT l.query_id, rank, grade, row_number() OVER (PARTITION BY l.query_id ORDER BY rank) AS hits FROM lexical l JOIN g ON g.query_id = l.query_id AND g.item = l.id WHERE rank <= 10),
-per AS (SELECT query_id, count(*) AS h, min(rank) AS first, sum(hits / rank::DOUBLE) AS ap, sum(grade / log2(rank + 1.0)) AS dcg FROM h GROUP BY 1)
-SELECT query_id, coalesce(h / 10.0::DOUBLE, 0) AS "precision", round(coalesce(h / g::DOUBLE, 0), 6) AS recall, round(coalesce(1 / first::DOUBLE, 0), 6) AS mrr, round(coalesce(ap / g, 0), 6) AS map, round(coalesce(dcg / idcg, 0), 6) AS ndcg FROM i LEFT JOIN per USING (query_id)""")
-def m06_metrics(spark: SparkSession, base: str) -> DataFrame:
-    corpus = table(spark, base, "smoke_corpus")
-    asked = _asked(spark, base)
-    results = retrieval.bm25(corpus, asked, "id", "content", 10).select("query_id", F.col("id").alias("item"), "rank")
-    head = lambda c: F.lower(F.substring(c, 1, 24))
-    gold = asked.join(corpus, head("query_text") == head("content")).select("query_id", F.col("id").alias("item"), (1 + F.length("content") % 3).alias("grade"))
-    r = lambda c: F.round(c, 6).alias(c)
-    return evaluation.metrics(results, gold).select("query_id", "precision", r("recall"), r("mrr"), r("map"), r("ndcg"))
-
-
 @REGISTRY.query("j16_cooccurrence", """
 WITH e AS (SELECT DISTINCT memory_id, lower(trim(unnest(list_transform(entities, lambda x: x.text)))) AS item FROM mif_memories)
 SELECT a.item AS item_a, b.item AS item_b, count(*) AS n FROM e a JOIN e b ON a.memory_id = b.memory_id AND a.item < b.item GROUP BY ALL HAVING count(*) >= 3""")

@@ -38,11 +38,6 @@ def d19_merge_facts(spark: SparkSession, base: str) -> DataFrame:
     return rows.groupBy(collapsed(F.col("content")).alias("fact")).agg(F.min("id").alias("survivor"), F.count("*").alias("support"))
 
 
-@REGISTRY.query("j08_contradictions")
-def j08_contradictions(spark: SparkSession, base: str) -> DataFrame:
-    return facts.contradictions(facts.distilled(facts.candidates(memories(spark, base)), 1))
-
-
 @REGISTRY.query("s27_decaying_facts", _FACTS + """, l AS (SELECT fact, max(created_at) AS last FROM k GROUP BY 1)
 SELECT fact FROM f JOIN l USING (fact) WHERE (epoch_us(TIMESTAMPTZ '2026-01-01 00:00:00+00') - epoch_us(last)) / 86400e6 > 200""")
 def s27_decaying_facts(spark: SparkSession, base: str) -> DataFrame:
@@ -66,30 +61,6 @@ def e05_blocked_pairs(spark: SparkSession, base: str) -> DataFrame:
     return linkage.pairs(_customers(spark, base), "uuid", "head", compare)
 
 
-@REGISTRY.query("r08_layered_recall")
-def r08_layered_recall(spark: SparkSession, base: str) -> DataFrame:
-    """Lexical leg, entity leg and recency leg for each search (every fiftieth request), fused by rank, then scored with importance and age.
-
-    Every leg is a top-k per request, so what is fused is bounded by the requests, not the memories.
-    """
-    asked = table(spark, base, "recall_requests").where("request_id % 50 = 0").select(F.col("request_id").alias("query_id"), "query_text", "user_id")
-    rows = memories(spark, base, "content is not null")
-    lexical = retrieval.bm25(rows, asked, "memory_id", "content", 50).select("query_id", "memory_id", "rank")
-    entities = table(spark, base, "mif_memories").select("memory_id", F.explode("entities.text").alias("e")).select("memory_id", F.lower("e").alias("e")).distinct()
-    heads = lexical.where("rank <= 3").join(entities, "memory_id").select("query_id", "e").distinct()
-    related = heads.join(entities, "e").groupBy("query_id", "memory_id").agg(F.count("*").alias("shared"))
-    related = ranking.top_per_group(related, ["query_id"], [F.col("shared").desc(), F.col("memory_id")], 50).select("query_id", "memory_id", "rank")
-    recent = asked.join(rows.where("created_at is not null").select("user_id", "memory_id", "created_at"), "user_id")
-    recent = ranking.top_per_group(recent, ["query_id"], [F.col("created_at").desc(), F.col("memory_id")], 50).select("query_id", "memory_id", "rank")
-    fused = ranking.reciprocal_ranks([(lexical, 0.6), (related, 0.25), (recent, 0.15)], ["query_id", "memory_id"])
-    days = scoring.age_days(F.col("created_at"), F.lit(datetime(2026, 1, 1)))
-    scored = fused.join(rows.select("memory_id", "importance", "created_at"), "memory_id").withColumn(
-        "score", scoring.unified(F.col("score"), F.coalesce(F.col("importance").cast("double"), F.lit(0.5)), F.coalesce(days * 24, F.lit(1e6)), F.lit(0.0), F.lit(0.5), F.lit(0.0), F.lit(1.0))
-    )
-    best = ranking.top_per_group(scored.withColumn("_s", F.round("score", 9)), ["query_id"], [F.col("_s").desc(), F.col("memory_id")], 10)
-    return best.select("query_id", "memory_id", "rank", F.round("score", 9).alias("score"))
-
-
 @REGISTRY.query("w03_lateral_inhibition", """
 WITH q AS (SELECT q.vec_id AS query_id, e.vec_id, e.embedding::DOUBLE[] AS v, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM q QUALIFY rank <= 50),

@@ -204,14 +204,16 @@ def n40_linked_names(spark: SparkSession, base: str) -> DataFrame:
 
 
 @REGISTRY.query("n39_resolved_places", """
-WITH g AS (SELECT lower(entity_name) AS name, uuid FROM graph_entities WHERE labels[1] = 'LOCATION'), b AS (SELECT line_id, unnest(string_split(raw_line, ';')) AS b FROM gkg_lines)
-SELECT DISTINCT line_id, uuid FROM (SELECT line_id, lower(string_split(b, '#')[2]) AS name FROM b) JOIN g USING (name)""")
+WITH g AS (SELECT lower(entity_name) AS name, uuid FROM graph_entities WHERE labels[1] = 'LOCATION' AND len(string_split(entity_name, ' ')) = 2),
+w AS (SELECT id, list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM smoke_corpus WHERE content IS NOT NULL),
+b AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS name FROM w)
+SELECT id, uuid FROM b JOIN g USING (name)""")
 def n39_resolved_places(spark: SparkSession, base: str) -> DataFrame:
-    """Names in location blocks that a gazetteer (the location nodes) has."""
-    known = table(spark, base, "graph_entities").where(F.get("labels", F.lit(0)) == "LOCATION").select(F.lower("entity_name").alias("name"), "uuid")
-    blocks = table(spark, base, "gkg_lines").select("line_id", F.explode(F.split("raw_line", ";")).alias("b"))
-    names = blocks.select("line_id", F.lower(F.get(F.split("b", "#"), F.lit(1))).alias("name"))
-    return names.join(known, "name").select("line_id", "uuid").distinct()
+    """Mentions that a gazetteer (the location nodes of two words) has: each pair of neighbouring words looks it up."""
+    known = table(spark, base, "graph_entities").where((F.get("labels", F.lit(0)) == "LOCATION") & (F.size(F.split("entity_name", " ")) == 2)).select(F.lower("entity_name").alias("name"), "uuid")
+    words = corpus(spark, base).select("id", F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda x: x != "").alias("w")).where("size(w) > 1")
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda x, y: F.concat(x, F.lit(" "), y))
+    return words.select("id", F.explode(F.array_distinct(pairs)).alias("name")).join(known, "name").select("id", "uuid")
 
 
 @REGISTRY.query("n41_coarse_kinds", "SELECT uuid, CASE labels[1] WHEN 'PERSON' THEN 'agent' WHEN 'ORGANIZATION' THEN 'agent' WHEN 'LOCATION' THEN 'place' WHEN 'TECHNOLOGY' THEN 'thing' ELSE 'other' END AS coarse FROM graph_entities")
@@ -227,9 +229,11 @@ def z46_explicit_dates(spark: SparkSession, base: str) -> DataFrame:
     return corpus(spark, base).select("id", F.explode(dates.explicit(F.col("content"))).alias("day")).where("day is not null").distinct()
 
 
-@REGISTRY.query("z48_month_years", r"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b(?:January|February|March|April|May|June|July|August|September|October|November|December) (?:19|20)[0-9]{2}\b')) AS month FROM documents WHERE text IS NOT NULL")
+@REGISTRY.query("z48_month_years", "SELECT event_id, [strftime(ts, '%B %Y')] AS months FROM events")
 def z48_month_years(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "documents").where("text is not null").select("doc_id", F.explode(dates.month_years(F.col("text"))).alias("month")).distinct()
+    """The months that a sentence names (made of events here)."""
+    said = F.concat(F.lit("It stopped in "), F.date_format("ts", "MMMM yyyy"), F.lit(", they say."))
+    return table(spark, base, "events").select("event_id", dates.month_years(said).alias("months"))
 
 
 @REGISTRY.query("z49_years", _C + r"SELECT DISTINCT id, unnest(regexp_extract_all(content, '\b(?:19|20)[0-9]{2}\b'))::INT AS year FROM c")

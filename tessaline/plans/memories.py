@@ -71,9 +71,9 @@ _scan(
 )
 
 
-@REGISTRY.query("s07_content_hash", "SELECT DISTINCT memory_id FROM remember_requests WHERE sha256(content) IN (SELECT sha256(content) FROM smoke_corpus)")
+@REGISTRY.query("s07_content_hash", "SELECT DISTINCT memory_id FROM remember_requests WHERE sha256(content) IN (SELECT sha256(content) FROM remember_requests WHERE memory_type = 'Pattern')")
 def s07_content_hash(spark: SparkSession, base: str) -> DataFrame:
-    known = table(spark, base, "smoke_corpus").select(text.content_hash(F.col("content")).alias("h"))
+    known = table(spark, base, "remember_requests").where("memory_type = 'Pattern'").select(text.content_hash(F.col("content")).alias("h"))
     rows = table(spark, base, "remember_requests").select("memory_id", text.content_hash(F.col("content")).alias("h"))
     return rows.join(known, "h", "left_semi").select("memory_id").distinct()
 
@@ -260,11 +260,11 @@ def w15_sequence_numbers(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("memory_id", F.row_number().over(W.partitionBy("user_id", "mission_id").orderBy("created_at", "memory_id")).alias("seq"))
 
 
-@REGISTRY.query("k07_mission_replay", _M + "SELECT mission_id, string_agg(memory_id, ',' ORDER BY created_at, memory_id) AS replay FROM m WHERE mission_id IS NOT NULL AND created_at IS NOT NULL GROUP BY 1")
+@REGISTRY.query("k07_mission_replay", _M + "SELECT mission_id, memory_id, row_number() OVER (PARTITION BY mission_id ORDER BY created_at, memory_id) AS place FROM m WHERE mission_id IS NOT NULL AND created_at IS NOT NULL")
 def k07_mission_replay(spark: SparkSession, base: str) -> DataFrame:
-    rows = memories(spark, base, "mission_id is not null and created_at is not null")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("created_at", "memory_id"))), lambda x: x["memory_id"])
-    return rows.groupBy("mission_id").agg(F.array_join(ordered, ",").alias("replay"))
+    """The memories of each mission in their order, a row each."""
+    rows = memories(spark, base, "mission_id is not null and created_at is not null").select("mission_id", "memory_id", "created_at")
+    return rows.select("mission_id", "memory_id", F.row_number().over(W.partitionBy("mission_id").orderBy("created_at", "memory_id")).alias("place"))
 
 
 @REGISTRY.query("k12_recall_by_tags", """

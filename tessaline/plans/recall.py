@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessaline.functions import places, questions, scoring, segments, statements, strings, text
-from tessaline.operators import clusters, facts, graph, linkage, overlap, ranking, retrieval, scans
+from tessaline.operators import clusters, evaluation, facts, graph, linkage, overlap, ranking, retrieval, scans
 from tessaline.plans.analytics import _BM25, _asked
 from tessaline.plans.registry import Registry
 from tessaline.runtime import cut, table
@@ -223,9 +223,9 @@ def s24_facts_by_entity(spark: SparkSession, base: str) -> DataFrame:
 _KIND = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(content), '{w}')" for w in words) + f" THEN '{k}'" for k, words in statements.FACT_WORDS) + " ELSE 'pattern' END"
 
 
-@REGISTRY.query("s25_facts_by_kind", _FACTS + f" SELECT fact FROM f WHERE {_KIND} = 'preference'")
+@REGISTRY.query("s25_facts_by_kind", _FACTS + f" SELECT fact FROM f WHERE {_KIND} = 'procedure'")
 def s25_facts_by_kind(spark: SparkSession, base: str) -> DataFrame:
-    return stated(spark, base).where(statements.fact_kind(F.col("content")) == "preference").select("fact")
+    return stated(spark, base).where(statements.fact_kind(F.col("content")) == "procedure").select("fact")
 
 
 @REGISTRY.query("s26_fact_search", _FACTS + " SELECT fact FROM f WHERE contains(lower(content), 'sensor bridge')")
@@ -415,6 +415,20 @@ def gold(spark: SparkSession, base: str) -> DataFrame:
     return overlap.dice_pairs(q, c, "query_id", "item", 0.5).select("query_id", "item")
 
 
+@REGISTRY.query("m06_metrics", _BM25 + _GOLD + """, g AS (SELECT query_id, item, 1 + (length(content) % 3) AS grade FROM gold JOIN smoke_corpus ON id = item),
+i AS (SELECT query_id, count(*) AS g, sum(CASE WHEN r <= 10 THEN grade / log2(r + 1.0) END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, item) AS r FROM g) GROUP BY 1),
+h AS (SELECT l.query_id, rank, grade, row_number() OVER (PARTITION BY l.query_id ORDER BY rank) AS hits FROM lexical l JOIN g ON g.query_id = l.query_id AND g.item = l.id WHERE rank <= 10),
+per AS (SELECT query_id, count(*) AS h, min(rank) AS first, sum(hits / rank::DOUBLE) AS ap, sum(grade / log2(rank + 1.0)) AS dcg FROM h GROUP BY 1)
+SELECT query_id, coalesce(h / 10.0::DOUBLE, 0) AS "precision", round(coalesce(h / g::DOUBLE, 0), 6) AS recall, round(coalesce(1 / first::DOUBLE, 0), 6) AS mrr, round(coalesce(ap / g, 0), 6) AS map, round(coalesce(dcg / idcg, 0), 6) AS ndcg FROM i LEFT JOIN per USING (query_id)""")
+def m06_metrics(spark: SparkSession, base: str) -> DataFrame:
+    """Precision, recall, reciprocal rank, mean precision and gain of the first ten, judged by whole texts."""
+    results = lexical(spark, base, 10).select("query_id", F.col("id").alias("item"), "rank")
+    grades = table(spark, base, "smoke_corpus").select(F.col("id").alias("item"), (1 + F.length("content") % 3).alias("grade"))
+    judged = gold(spark, base).join(grades, "item").select("query_id", "item", "grade")
+    r = lambda c: F.round(c, 6).alias(c)
+    return evaluation.metrics(results, judged).select("query_id", "precision", r("recall"), r("mrr"), r("map"), r("ndcg"))
+
+
 @REGISTRY.query("m07_funnel", _TOP + _GOLD + " SELECT stage, sum(n)::BIGINT AS survivors FROM (SELECT '1 relevant' AS stage, count(*) AS n FROM gold UNION ALL SELECT '2 candidates', count(*) FROM gold JOIN top ON top.query_id = gold.query_id AND top.id = item UNION ALL SELECT '3 first ten', count(*) FROM gold JOIN top ON top.query_id = gold.query_id AND top.id = item WHERE rank <= 10 UNION ALL SELECT '4 first', count(*) FROM gold JOIN top ON top.query_id = gold.query_id AND top.id = item WHERE rank = 1) GROUP BY 1")
 def m07_funnel(spark: SparkSession, base: str) -> DataFrame:
     """How many of the relevant records are left after each stage."""

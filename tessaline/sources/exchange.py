@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,13 @@ def issue_text(issue: Column) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("Issue #"), field("number"), F.lit(": "), field("title")), F.concat(F.lit("State: "), field("state")), F.when(labels != "", F.concat(F.lit("Labels: "), labels)), field("body"))
 
 
+def pull_text(pull: Column) -> Column:
+    """The same of a change request: title, number, branches, whether it is merged, body."""
+    field = lambda p: F.get_json_object(pull, f"$.{p}")
+    state = F.when(field("merged") == "true", "merged").otherwise(field("state"))
+    return F.concat_ws("\n", F.concat(F.lit("Change #"), field("number"), F.lit(": "), field("title")), F.concat(F.lit("State: "), state), F.concat(F.lit("Branch: "), field("head.ref"), F.lit(" into "), field("base.ref")), field("body"))
+
+
 def commit_text(commit: Column) -> Column:
     field = lambda p: F.get_json_object(commit, f"$.{p}")
     return F.concat_ws("\n", F.concat(F.lit("Commit "), F.substring(field("sha"), 1, 7), F.lit(" by "), field("commit.author.name")), field("commit.message"))
@@ -50,20 +58,26 @@ def signed(body: bytes, signature: str, secret: bytes) -> bool:
 def chained(rows: DataFrame, session: str, order: list[str], payload: str) -> DataFrame:
     """(session, seq, payload, prev_hash, hash): each session's log, in which a record's hash covers the one before.
 
-    A chain is sequential by nature, so a session is one group; sessions are independent.
+    A chain is sequential by nature. Rows are sorted by session and time within hashed partitions (an external sort) and streamed: a task holds one
+    hash, however long a session is.
     """
     kind = dict(rows.dtypes)[session]
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        prev, out = "", []
-        for seq, (s, p) in enumerate(zip(pdf[session], pdf[payload], strict=True), 1):
-            h = hashlib.sha256(f"{prev}|{seq}|{p}".encode()).hexdigest()
-            out.append((s, seq, p, prev, h))
-            prev = h
-        return pd.DataFrame(out, columns=["session", "seq", "payload", "prev_hash", "hash"])
-
-    return rows.groupBy(session).applyInPandas(link, f"session {kind}, seq bigint, payload string, prev_hash string, hash string")
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, seq, prev, started = None, 0, "", False
+        for b in batches:
+            out = []
+            for s, p in zip(b[session], b[payload], strict=True):
+                if not started or s != now:
+                    now, seq, prev, started = s, 0, "", True
+                seq += 1
+                h = hashlib.sha256(f"{prev}|{seq}|{p}".encode()).hexdigest()
+                out.append((s, seq, p, prev, h))
+                prev = h
+            yield pd.DataFrame(out, columns=["session", "seq", "payload", "prev_hash", "hash"])
+
+    placed = rows.repartition(session).sortWithinPartitions(session, *order).select(session, payload)
+    return placed.mapInPandas(link, f"session {kind}, seq bigint, payload string, prev_hash string, hash string")
 
 
 def chain_faults(log: DataFrame) -> DataFrame:

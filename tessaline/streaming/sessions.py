@@ -123,17 +123,27 @@ def buffered(stream: DataFrame, rules: Buffering | None = None) -> DataFrame:
     return hashed.groupBy("user_id").applyInPandasWithState(step, DRAINED, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(stream: DataFrame, folder: str, name: str, mode: str = "append") -> DataFrame:
+def run_to_end(stream: DataFrame, folder: str, name: str) -> DataFrame:
     """Everything that is there goes through the stream once; the result as a table in `folder`."""
-    spark = stream.sparkSession
-    if mode == "append":
-        out = f"{folder}/{name}"
-        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/{name}.state").trigger(availableNow=True).start()
-        query.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(out)
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}.state").trigger(availableNow=True).start()
+    out = f"{folder}/{name}"
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/{name}.state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def updated_to_end(stream: DataFrame, folder: str, name: str, keys: list[str]) -> DataFrame:
+    """The last value of each key of an aggregation that is written as it changes: every batch's changes go to files, no result to the driver."""
+    out = f"{folder}/{name}"
+
+    def write(changed: DataFrame, batch: int) -> None:
+        # A batch that is tried again replaces what it wrote.
+        changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/{name}.state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
 
 
 def drained_to_end(drained: DataFrame, folder: str, name: str) -> DataFrame:
