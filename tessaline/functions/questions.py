@@ -32,3 +32,34 @@ def weight(word: Column) -> Column:
 def negated(question: Column) -> Column:
     """ "Did x happen?" as "did not x happen"."""
     return F.concat(F.lit("did not "), F.lower(F.regexp_replace(question, r"^Did |\?$", "")))
+
+
+STOPS = ("the", "a", "an", "of", "to", "in", "on", "at", "for", "and", "or", "is", "are", "was", "were", "be", "by", "with", "from", "it", "this", "that", "not", "no", "do", "does", "did")
+VERBS = ("hit", "took", "stayed", "moved", "keeps", "wants", "reports", "check", "restart", "run", "map", "log", "fail", "raise", "rank", "use", "ask", "find")
+
+
+def part_of_speech(word: Column) -> Column:
+    """By lists and endings: function, verb, adjective, number, else noun."""
+    return (
+        F.when(word.isin(*STOPS), "function").when(word.isin(*VERBS) | word.rlike("(ed|ing|ize|ise)$"), "verb").when(word.rlike("(ful|ous|ive|able|al|ic|less)$"), "adjective")
+        .when(word.rlike("^[0-9]+$"), "number").otherwise("noun")
+    )
+
+
+#: Relations and the verbs that stand for them, first match wins.
+RELATIONS = (
+    ("causes", "because|caused|leads to|explains"), ("replaces", "replaced|instead of|moved to"), ("uses", "uses|used|keeps|relies on"), ("measures", "measured|observed|mapped|logged"), ("fixes", "fixed|repaired|tuned"),
+)
+
+
+def relation(sentence: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(RELATIONS):
+        out = F.when(F.lower(sentence).rlike(pattern), name).otherwise(out)
+    return out
+
+
+#: What statements of each kind look like; the first group is what is stated.
+EXTRACTORS = (
+    ("procedure", "check ([^ ]+) first"), ("preference", "(?:wants to|prefers to|would rather) ([a-z ]+)"), ("pattern", "(Observed [0-9]+% more [a-z ]+ events)"), ("decision", "Decision: (.*)"),
+)

@@ -24,13 +24,16 @@ def chi_squared(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when(least >= 5, stat).otherwise(0.0)
 
 
-def p_value(stat: Column) -> Column:
-    """Of chi squared with one degree of freedom, in steps of the usual critical values."""
-    steps = ((10.828, 0.001), (6.635, 0.01), (3.841, 0.05), (2.706, 0.1))
-    out = F.lit(1.0)
-    for critical, p in reversed(steps):
-        out = F.when(stat >= critical, p).otherwise(out)
-    return out
+# Critical values of chi squared with one degree of freedom.
+CRITICAL_05, CRITICAL_001, CRITICAL_0001 = 3.841, 10.828, 15.137
+
+
+def interpolated_p(stat: Column) -> Column:
+    """Of chi squared with one degree of freedom, by straight lines between its usual critical values."""
+    far = 0.001 - (stat - CRITICAL_001) / (CRITICAL_0001 - CRITICAL_001) * 0.0009
+    mid = 0.05 - (stat - CRITICAL_05) / (CRITICAL_001 - CRITICAL_05) * 0.049
+    near = 0.05 + (1 - stat / CRITICAL_05) * 0.95
+    return F.when(stat <= 0, 1.0).when(stat >= CRITICAL_0001, 0.0001).when(stat >= CRITICAL_001, far).when(stat >= CRITICAL_05, mid).otherwise(near)
 
 
 def cohens_h(p1: Column, p2: Column) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaline.plans import analytics, filters, flows, graphs, knowledge, language, learning, memories, mutations, problems, recall, surfaces, tasks, vectors
+from tessaline.plans import analytics, filters, flows, graphs, knowledge, language, learning, maintenance, memories, mutations, problems, recall, surfaces, tasks, understanding, vectors
 from tessaline.plans.registry import Registry
 
-MODULES = (problems, memories, filters, mutations, analytics, flows, knowledge, surfaces, graphs, learning, tasks, language, vectors, recall)
+MODULES = (problems, memories, filters, mutations, analytics, flows, knowledge, surfaces, graphs, learning, tasks, language, vectors, recall, maintenance, understanding)
 
 
 def registry() -> Registry:

@@ -274,3 +274,40 @@ def test_dates(spark):
     said = {"yesterday": "2024-05-14", "last monday": "2024-05-13", "last wednesday": "2024-05-08", "next wednesday": "2024-05-22", "2 weeks ago": "2024-05-01", "last month": "2024-04-01", "this weekend": "2024-05-18", "nonsense": None, "last year": "2023-01-01"}
     rows = spark.createDataFrame([(s,) for s in said], "s string").select("s", dates.resolve(F.col("s"), F.lit(datetime(2024, 5, 15)).cast("date")).cast("string").alias("d")).collect()
     assert {x.s: x.d for x in rows} == said
+
+
+def test_chunks_hold_the_limit_and_rebuild():
+    from tessaline.functions import chunks
+
+    r = random.Random(6)
+    for _ in range(60):
+        text = "".join(r.choice(["word ", "Ende. ", "\n\n", "x" * 300, "。", "line\n"]) for _ in range(r.randint(0, 200)))
+        out = chunks.chunk(text, 32, 4)
+        at = 0
+        for k, (a, z) in enumerate(out):
+            assert 0 < z - a <= 32 * chunks.CHARS and a <= at
+            if k:
+                assert out[k - 1][1] - a <= 4 * chunks.CHARS
+            at = z
+        assert at == len(text)
+    assert chunks.chunk("", 32, 4) == []
+
+
+def test_polygons_by_edges(spark):
+    from tessaline.operators import geo
+
+    r = random.Random(2)
+    points = [(i, r.uniform(-5, 15), r.uniform(-5, 15)) for i in range(2_000)] + [(9_000, float("nan"), 1.0), (9_001, None, 1.0)]
+    square, hole = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)], [(0.0, 0.0), (10.0, 5.0), (0.0, 10.0), (4.0, 5.0)]
+
+    def inside(p, y, x):
+        odd = False
+        for (a, b), (c, d) in zip(p, [*p[1:], p[0]], strict=True):
+            if min(a, c) <= y < max(a, c):
+                lo, hi = ((a, b), (c, d)) if a < c else ((c, d), (a, b))
+                odd ^= lo[1] + (y - lo[0]) / (hi[0] - lo[0]) * (hi[1] - lo[1]) > x
+        return odd
+
+    df = spark.createDataFrame(points, "pid int, lat double, lon double").repartition(3)
+    got = {(x.pid, x.region) for x in geo.in_regions(df, {"square": square, "dart": hole}, "pid").collect()}
+    assert got == {(i, n) for i, y, x in points[:2_000] for n, p in (("square", square), ("dart", hole)) if inside(p, y, x)}
