@@ -280,30 +280,31 @@ def variants(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
-def expansions(typed: DataFrame, vocabulary: DataFrame, given: DataFrame) -> DataFrame:
+def expansions(typed: DataFrame, vocabulary: DataFrame, given: DataFrame, mark=lambda t: t) -> DataFrame:
     """(word, full) of each of the `typed` words that abbreviates one word of the organisations' `vocabulary`, all by joins on words.
 
+    `mark` is put on the tables that come of the vocabulary, to broadcast them where it is small.
     In this order: a usual abbreviation, the beginning of just one word, a slip in a usual abbreviation, the consonants of just one word.
     """
     spark = typed.sparkSession
     usual = spark.createDataFrame(list(SHORT.items()), "short string, full string")
     known = F.broadcast(usual.join(vocabulary.withColumnRenamed("word", "full"), "full"))
-    fresh = cut(typed.where(F.length("word") >= 2).join(vocabulary, "word", "left_anti"))
+    fresh = cut(typed.where(F.length("word") >= 2).join(mark(vocabulary), "word", "left_anti"))
     direct = fresh.join(known, F.col("word") == F.col("short")).select("word", "full", F.lit(0).alias("way"))
-    longer = fresh.where(F.length("word") >= 3).join(given, "word", "left_anti")
+    longer = cut(fresh.where(F.length("word") >= 3).join(mark(given), "word", "left_anti"))
     prefixes = vocabulary.select(F.col("word").alias("full"), F.explode(F.sequence(F.lit(3), F.length("word") - 1)).alias("n")).where(F.col("n") >= 3)
     alone = prefixes.groupBy(F.expr("left(full, n)").alias("word")).agg(F.min("full").alias("full"), F.count("*").alias("c")).where("c = 1")
-    begins = longer.join(alone, "word").select("word", "full", F.lit(1).alias("way"))
+    begins = longer.join(mark(alone), "word").select("word", "full", F.lit(1).alias("way"))
     lapses = _map(longer.where(F.length("word") >= 4), lambda w: [(w, s) for s in SHORT if len(s) >= 4 and one_edit(w, s)], "word string, short string")
-    lapses = lapses.join(known, "short").groupBy("word").agg(F.min("full").alias("full"), F.countDistinct("full").alias("c")).where("c = 1")
+    lapses = cut(lapses.join(known, "short").groupBy("word").agg(F.min("full").alias("full"), F.countDistinct("full").alias("c")).where("c = 1"))
     cuts = lambda t: _map(t, lambda w: [(w, v) for v in variants(w)], "word string, variant string")
-    beside = cuts(lapses.select("word")).join(cuts(vocabulary).withColumnRenamed("word", "full"), "variant")
+    beside = cuts(lapses.select("word")).join(mark(cuts(vocabulary).withColumnRenamed("word", "full")), "variant")
     beside = _map(beside.select("word", "full").distinct(), lambda w, v: [(w,)] if one_edit(w, v) else [], "word string").distinct()
-    slips = lapses.join(beside, "word", "left_anti").select("word", "full", F.lit(2).alias("way"))
+    slips = lapses.join(mark(beside), "word", "left_anti").select("word", "full", F.lit(2).alias("way"))
     bones = lambda c: F.concat(F.left(c, F.lit(1)), F.regexp_replace(F.expr(f"substring({c}, 2)"), "[aeiou]", ""))
     framed = vocabulary.select(F.col("word").alias("full"), bones("word").alias("frame"))
-    whole = longer.join(framed, F.col("word") == F.col("frame")).select("word", "full")
-    part = longer.withColumn("frame", bones("word")).join(framed, "frame").where(F.length("word") < F.length("full") - 2).select("word", "full")
+    whole = longer.join(mark(framed), F.col("word") == F.col("frame")).select("word", "full")
+    part = longer.withColumn("frame", bones("word")).join(mark(framed), "frame").where(F.length("word") < F.length("full") - 2).select("word", "full")
     bony = whole.union(part).groupBy("word").agg(F.min("full").alias("full"), F.countDistinct("full").alias("c")).where("c = 1").select("word", "full", F.lit(3).alias("way"))
     every = direct.unionByName(begins).unionByName(slips).unionByName(bony)
     return every.groupBy("word").agg(F.min_by("full", "way").alias("full"))
@@ -332,6 +333,8 @@ def link(mentions: DataFrame, entities: DataFrame, nicknames: dict[str, str] | N
     lengths = {r.length for r in forms.select("length").distinct().collect()}
     vocabulary = cut(_map(entities.select("entity_name", "label"), words_of, "word string, firm boolean").distinct())
     given = vocabulary.where("not firm").select("word")
+    # A word gives a row for each of its beginnings and deletions, some sixteen.
+    mark = F.broadcast if vocabulary.count() * 16 <= BROADCAST_ROWS else lambda t: t
 
     # What is typed: distinct spellings, their words, and what is known of these words.
     spellings = mentions.where(F.col("spelling").isNotNull()).groupBy("spelling").agg(F.count("*").alias("times"))
@@ -339,8 +342,10 @@ def link(mentions: DataFrame, entities: DataFrame, nicknames: dict[str, str] | N
     typed = _map(spellings.repartition(wide, "spelling"), lambda s, n: [(s, n, bare(words(s)))], "spelling string, times long, typed array<string>")
     typed = cut(typed.withColumn("key", F.array_join(F.array_sort("typed"), " ")))
     met = cut(typed.select(F.explode("typed").alias("word")).distinct())
-    full = expansions(met, vocabulary.where("firm").select("word"), given)
-    known = cut(full.join(given.join(met, "word", "left_semi").withColumn("is_given", F.lit(True)), "word", "full_outer"))
+    full = expansions(met, vocabulary.where("firm").select("word"), given, mark)
+    named = met.join(mark(given), "word", "left_semi")
+    known = full.select("word", "full", F.lit(False).alias("is_given")).unionByName(named.select("word", F.lit(None).cast("string").alias("full"), F.lit(True).alias("is_given")))
+    known = cut(known.groupBy("word").agg(F.max("full").alias("full"), F.bool_or("is_given").alias("is_given")))
     noted = typed.select("spelling", F.explode(F.array_distinct("typed")).alias("word")).join(_small(known), "word")
     noted = noted.groupBy("spelling").agg(F.collect_list(F.struct("word", "full", "is_given")).alias("known"))
     about = typed.select("spelling", "typed", "key").join(noted, "spelling", "left").repartition(wide)
