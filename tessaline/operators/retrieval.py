@@ -28,8 +28,8 @@ def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def bm25(documents: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k: int = 10) -> DataFrame:
-    """(query_id, key, score, rank): the k best documents of each query (query_id, query_text).
+def bm25(documents: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k: int = 10, boost=lambda term: F.lit(1.0)) -> DataFrame:
+    """(query_id, key, score, rank): the k best documents of each query (query_id, query_text); `boost` weighs a term.
 
     Only postings of asked terms take part: the query terms, a small side by nature, are semi-joined first; document counts
     and the mean length come from one scan of the texts.
@@ -45,7 +45,7 @@ def bm25(documents: DataFrame, queries: DataFrame, key: str = "doc_id", text: st
         .withColumn("idf", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         .withColumn("w", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))))
     )
-    scores = weighted.join(asked, "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
+    scores = weighted.join(asked, "term").groupBy("query_id", key).agg(F.sum(boost(F.col("term")) * F.col("w")).alias("score"))
     return top_per_group(scores.withColumn("_s", F.round("score", 9)), ["query_id"], [F.col("_s").desc(), F.col(key)], k).drop("_s")
 
 

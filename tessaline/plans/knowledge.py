@@ -46,7 +46,7 @@ def s27_decaying_facts(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _customers(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "graph_entities").select("uuid", "entity_name", F.get("labels", F.lit(0)).alias("label"), F.substring("kb_id", 1, 4).alias("kb"), F.lower(F.left("entity_name", F.lit(2))).alias("head"))
+    return table(spark, base, "graph_entities").select("uuid", "entity_name", F.get("labels", F.lit(0)).alias("label"), F.substring("kb_id", 1, 4).alias("kb"), F.lower(F.left("entity_name", F.lit(4))).alias("head"))
 
 
 @REGISTRY.query("e02_match_probability")

@@ -34,6 +34,33 @@ def _tags() -> Column:
     return F.array_distinct(F.filter(lowered, lambda t: t.isNotNull() & (t != "")))
 
 
+_FIELDS = r"""
+WITH d AS (SELECT id, lower(content) AS c, list_filter(string_split_regex(lower(concat_ws(' ', content, array_to_string(tags, ' '))), '[^a-z0-9]+'), lambda w: w <> '') AS t FROM smoke_corpus WHERE content IS NOT NULL),
+qt AS (SELECT request_id AS query_id, list_filter(string_split_regex(lower(query_text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM recall_requests WHERE request_id % 50 = 0), q AS (SELECT query_id, unnest(list_distinct(w)) AS term FROM qt),
+size AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d), p AS (SELECT id, len(t) AS length, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT query_id, id, sum(CASE WHEN length(term) >= 8 THEN 1.5 ELSE 1.0 END * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM p JOIN df USING (term) JOIN q USING (term), size GROUP BY ALL),
+l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 50),
+f AS (SELECT query_id, l.id, score + 0.5 * len(list_filter(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), lambda x: contains(c, x))) AS score FROM l JOIN qt USING (query_id) JOIN d ON d.id = l.id)
+SELECT query_id, id, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 5"""
+
+
+@REGISTRY.query("r06_bm25_fields", _FIELDS)
+def r06_bm25_fields(spark: SparkSession, base: str) -> DataFrame:
+    """Content and tags together, longer words counting half as much again, and half a point for each two neighbouring words of the question that the content has
+    (of the fifty best)."""
+    rows = table(spark, base, "smoke_corpus").where("content is not null")
+    docs = rows.select("id", F.concat_ws(" ", "content", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")).alias("body"))
+    long = lambda term: F.when(F.length(term) >= 8, 1.5).otherwise(1.0)
+    best = retrieval.bm25(docs, _asked(spark, base), "id", "body", 50, boost=long).select("query_id", "id", "score")
+    w = retrieval.terms(F.col("query_text"))
+    phrases = F.when(F.size(w) > 1, F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))).otherwise(F.array().cast("array<string>"))
+    asked = _asked(spark, base).select("query_id", phrases.alias("p"))
+    met = best.join(asked, "query_id").join(rows.select("id", F.lower("content").alias("c")), "id")
+    score = F.col("score") + 0.5 * F.size(F.filter("p", lambda x: F.contains(F.col("c"), x)))
+    scored = met.select("query_id", "id", score.alias("s")).withColumn("_s", F.round("s", 9))
+    return ranking.top_per_group(scored, ["query_id"], [F.col("_s").desc(), F.col("id")], 5).select("query_id", "id", F.round("s", 6).alias("score"))
+
+
 @REGISTRY.query("r02_lexical_filtered", _TOP + " SELECT query_id, top.id FROM top JOIN smoke_corpus c ON c.id = top.id WHERE c.memory_type <> 'Conversation' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10")
 def r02_lexical_filtered(spark: SparkSession, base: str) -> DataFrame:
     """Twice as many candidates as are wanted, filtered, then the first ten."""
@@ -256,6 +283,12 @@ def j08_opposed_facts(spark: SparkSession, base: str) -> DataFrame:
     return facts.alike(stated(spark, base), 0.0, 0.02, same_polarity=False).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+@REGISTRY.query("c05_ingested")
+def c05_ingested(spark: SparkSession, base: str) -> DataFrame:
+    """What becomes of each fact when all are taken in the order of time; the tests compare with one ledger for all."""
+    return facts.ingested(stated(spark, base), 0.2, 0.02)
+
+
 @REGISTRY.query("j19_causal_pairs", _FACTS + " SELECT a.fact AS earlier, b.fact AS later FROM f a JOIN f b ON a.user_id = b.user_id AND a.created_at < b.created_at AND len(list_intersect(a.names, b.names)) > 0 WHERE regexp_matches(lower(b.content), 'replaced|now|instead|moved to|because')")
 def j19_causal_pairs(spark: SparkSession, base: str) -> DataFrame:
     """An earlier and a later fact about one name, the later telling of a change; joined on (user, name)."""
@@ -313,12 +346,12 @@ def c01_consolidated(spark: SparkSession, base: str) -> DataFrame:
 
 # Linkage.
 
-_E = "WITH n AS (SELECT uuid, lower(entity_name) AS name, labels[1] AS label, lower(string_split(entity_name, ' ')[-1]) AS head, lower(left(entity_name, 2)) AS start FROM graph_entities) "
+_E = "WITH n AS (SELECT uuid, lower(entity_name) AS name, labels[1] AS label, lower(string_split(entity_name, ' ')[-1]) AS head, lower(left(entity_name, 4)) AS start FROM graph_entities) "
 
 
 def entities(spark: SparkSession, base: str) -> DataFrame:
     n = F.lower("entity_name")
-    return table(spark, base, "graph_entities").select("uuid", n.alias("name"), F.get("labels", F.lit(0)).alias("label"), F.element_at(F.split(n, " "), -1).alias("head"), F.left(n, F.lit(2)).alias("start"))
+    return table(spark, base, "graph_entities").select("uuid", n.alias("name"), F.get("labels", F.lit(0)).alias("label"), F.element_at(F.split(n, " "), -1).alias("head"), F.left(n, F.lit(4)).alias("start"))
 
 
 @REGISTRY.query("e03_name_levels", _E + ", p AS (SELECT a.uuid AS a, b.uuid AS b, jaro_winkler_similarity(a.name, b.name) AS s FROM n a JOIN n b ON a.label = b.label AND a.start = b.start AND a.uuid < b.uuid WHERE regexp_full_match(a.name, '[ -~]+') AND regexp_full_match(b.name, '[ -~]+')) SELECT a, b, CASE WHEN s >= 0.92 THEN 0 WHEN s >= 0.75 THEN 1 ELSE 2 END AS level FROM p WHERE s >= 0.5")

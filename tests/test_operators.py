@@ -311,3 +311,29 @@ def test_polygons_by_edges(spark):
     df = spark.createDataFrame(points, "pid int, lat double, lon double").repartition(3)
     got = {(x.pid, x.region) for x in geo.in_regions(df, {"square": square, "dart": hole}, "pid").collect()}
     assert got == {(i, n) for i, y, x in points[:2_000] for n, p in (("square", square), ("dart", hole)) if inside(p, y, x)}
+
+
+def test_ingest_equals_one_ledger(spark):
+    """Components folded apart give what one ledger gives that takes all facts in order."""
+    from tessaline.operators import facts
+
+    r = random.Random(21)
+    base = {g: np.random.default_rng(g).normal(size=8) for g in range(6)}
+    rows = []
+    for i in range(150):
+        g = r.randrange(6)
+        v = base[g] + 0.3 * np.random.default_rng(100 + i).normal(size=8)
+        content = f"item {g} moves " + ("not " if r.random() < 0.3 else "") + r.choice(["fast", "slow"])
+        rows.append((f"f{i:03}", f"u{r.randrange(2)}", None if r.random() < 0.05 else datetime(2025, 1, 1 + r.randrange(28)), r.randrange(4), content, [f"n{g}"], v.tolist()))
+    rows.append(("f999", "u0", None, None, "alone", [], None))
+    df = spark.createDataFrame(rows, "fact string, user_id string, created_at timestamp, support int, content string, names array<string>, v array<double>").repartition(3)
+    links = {}
+    for same in (True, False):
+        for x in facts.alike(df, 0.5, 0.3, same).collect():
+            links.setdefault(x.a, []).append((x.b, x.cosine, same))
+            links.setdefault(x.b, []).append((x.a, x.cosine, same))
+    ledger, want = facts.Ledger(), set()
+    for f, _, _, support, *_ in sorted(rows, key=lambda x: (x[2] is not None, x[2] or datetime(1, 1, 1), x[0])):
+        want.add(ledger.take(f, support or 0, links.get(f, [])))
+    got = {tuple(x) for x in facts.ingested(df, 0.5, 0.3).collect()}
+    assert got == want and {x[1] for x in want} >= {"stored", "reinforced", "superseded", "rejected", "ignored"}
