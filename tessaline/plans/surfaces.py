@@ -58,14 +58,14 @@ def x19_sensor_means(spark: SparkSession, base: str) -> DataFrame:
 @REGISTRY.query("x17_tag_overlap", """
 WITH q AS (SELECT request_id, user_id, list_sort(list_distinct(list_transform(tags, lambda t: lower(t)))) AS t FROM recall_requests WHERE len(tags) > 0 AND request_id % 50 = 0),
 m AS (SELECT DISTINCT memory_id, user_id, list_sort(list_distinct(list_transform(tags, lambda t: lower(t)))) AS t FROM remember_requests WHERE len(tags) > 0)
-SELECT request_id, memory_id, round(len(list_intersect(q.t, m.t)) / len(list_distinct(list_concat(q.t, m.t)))::DOUBLE, 6) AS overlap FROM q JOIN m ON q.user_id = m.user_id WHERE len(list_intersect(q.t, m.t)) > 0
+SELECT request_id, memory_id, round(len(list_intersect(q.t, m.t)) / len(list_distinct(list_concat(q.t, m.t)))::DOUBLE, 6) AS overlap FROM q, m WHERE len(list_intersect(q.t, m.t)) > 0
 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(len(list_intersect(q.t, m.t)) / len(list_distinct(list_concat(q.t, m.t)))::DOUBLE, 6) DESC, memory_id) <= 20""")
 def x17_tag_overlap(spark: SparkSession, base: str) -> DataFrame:
-    """The twenty memories of the user that share most tags with a search (every fiftieth request): joined on (user, tag), so that others never meet."""
+    """The twenty memories that share most tags with a search (every fiftieth request): joined on tags, so that others never meet."""
     lowered = F.array_sort(F.array_distinct(F.transform("tags", lambda t: F.lower(t))))
-    q = table(spark, base, "recall_requests").where((F.size("tags") > 0) & (F.col("request_id") % 50 == 0)).select("request_id", "user_id", lowered.alias("qt"))
-    m = table(spark, base, "remember_requests").where(F.size("tags") > 0).select("memory_id", "user_id", lowered.alias("mt")).distinct()
-    shared = q.select("*", F.explode("qt").alias("t")).join(m.select("*", F.explode("mt").alias("t")), ["user_id", "t"])
+    q = table(spark, base, "recall_requests").where((F.size("tags") > 0) & (F.col("request_id") % 50 == 0)).select("request_id", lowered.alias("qt"))
+    m = table(spark, base, "remember_requests").where(F.size("tags") > 0).select("memory_id", lowered.alias("mt")).distinct()
+    shared = q.select("*", F.explode("qt").alias("t")).join(m.select("memory_id", "mt", F.explode("mt").alias("t")), "t")
     counted = shared.groupBy("request_id", "memory_id", F.size("qt").alias("a"), F.size("mt").alias("b")).agg(F.count("*").alias("k"))
     scored = counted.select("request_id", "memory_id", F.round(F.col("k") / (F.col("a") + F.col("b") - F.col("k")), 6).alias("overlap"))
     return ranking.top_per_group(scored, ["request_id"], [F.col("overlap").desc(), F.col("memory_id")], 20).drop("rank")
