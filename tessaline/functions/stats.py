@@ -17,10 +17,12 @@ def bucket(user: Column, test: str) -> Column:
 
 
 def chi_squared(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Of the 2 x 2 table [[a, b], [c, d]]; 0 when an expected count is below 5."""
-    n = (a + b + c + d).cast("double")
-    least = F.least((a + b) * (a + c), (a + b) * (b + d), (c + d) * (a + c), (c + d) * (b + d)) / n
-    stat = n * F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d)).cast("double")
+    """Of the 2 x 2 table [[a, b], [c, d]]; 0 when an expected count is below 5. Products of counts leave 64 bits from some hundred thousand rows on: they are doubles, and
+    the difference of two a decimal."""
+    x, y, u, v = ((p.cast("double") + q.cast("double")) for p, q in ((a, b), (c, d), (a, c), (b, d)))
+    whole = lambda n: n.cast("decimal(19,0)")
+    least = F.try_divide(F.least(x * u, x * v, y * u, y * v), x + y)
+    stat = (x + y) * F.pow((whole(a) * whole(d) - whole(b) * whole(c)).cast("double"), 2) / (x * y * u * v)
     return F.when(least >= 5, stat).otherwise(0.0)
 
 
