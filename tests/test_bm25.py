@@ -65,3 +65,30 @@ def test_the_lexical_leg_is_searched_once(spark, base, monkeypatch, name):
     monkeypatch.setattr(retrieval, "bm25", lambda *a, **k: calls.append(1) or search(*a, **k))
     catalog.registry().queries[name](spark, base).count()
     assert len(calls) == 1
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, tmp_path_factory):
+    """Each of 200 questions meets each of 2,000 records, and every record is relevant to it: 400,000 pairs."""
+    base = tmp_path_factory.mktemp("crowded")
+    docs = spark.range(2_000).selectExpr(
+        "concat('d', id) as id", "concat('every record about thing', id % 40, if(id % 3 = 0, '?', '')) as content", "if(id % 4 = 0, 'Conversation', 'Task') as memory_type",
+        "array('Rust', concat('t', id % 7)) as tags", "timestamp'2025-05-20 00:00:00' + make_interval(0, 0, 0, 0, 0, id % 900) as created_at",
+    )
+    docs.write.parquet(str(base / "smoke_corpus.parquet"))
+    spark.range(200).selectExpr("50 * id as request_id", "concat('Every record about thing', id % 40, ' x', id) as query_text").write.parquet(str(base / "recall_requests.parquet"))
+    (duck := compare.duckdb.connect()).sql("SET TimeZone='UTC'")
+    for t in ("smoke_corpus", "recall_requests"):
+        duck.sql(f"CREATE VIEW {t} AS FROM '{base}/{t}.parquet/*.parquet'")
+    return str(base), duck
+
+
+def leg_of(name, crowded, spark):
+    """Its rows are those of SQL; how many rows it shuffles."""
+    (base, duck), registry, before = crowded, catalog.registry(), shuffled(spark)
+    df = registry.queries[name](spark, base)
+    got = compare.rows(df.columns, df.collect())
+    moved, want = shuffled(spark) - before, duck.sql(registry.sql[name])
+    assert got == compare.rows(want.columns, want.fetchall()) and got
+    return moved
+
