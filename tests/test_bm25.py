@@ -92,3 +92,10 @@ def leg_of(name, crowded, spark):
     assert got == compare.rows(want.columns, want.fetchall()) and got
     return moved
 
+
+LEG = ["r08_layers"]
+
+
+@pytest.mark.parametrize("name", LEG)
+def test_a_query_on_the_lexical_leg_shuffles_no_pairs(name, crowded, spark):
+    assert leg_of(name, crowded, spark) < 100_000
