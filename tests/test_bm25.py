@@ -93,7 +93,7 @@ def leg_of(name, crowded, spark):
     return moved
 
 
-LEG = ["r08_layers", "r12_frozen_anchors", "j12_boosted_inside", "r02_lexical_filtered", "r07_dynamic_fusion", "r11_companions", "j01_fused_lists"]
+LEG = ["r08_layers", "r12_frozen_anchors", "j12_boosted_inside", "r02_lexical_filtered", "r07_dynamic_fusion", "r11_companions", "j01_fused_lists", "r06_bm25_fields"]
 
 
 @pytest.mark.parametrize("name", LEG)
