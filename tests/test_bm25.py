@@ -93,7 +93,7 @@ def leg_of(name, crowded, spark):
     return moved
 
 
-LEG = ["r08_layers", "r12_frozen_anchors", "j12_boosted_inside", "r02_lexical_filtered", "r07_dynamic_fusion", "r11_companions", "j01_fused_lists", "r06_bm25_fields", "r13_linguistic_boost", "k04_paged_recall"]
+LEG = ["r08_layers", "r12_frozen_anchors", "j12_boosted_inside", "r02_lexical_filtered", "r07_dynamic_fusion", "r11_companions", "j01_fused_lists", "r06_bm25_fields", "r13_linguistic_boost", "k04_paged_recall", "r28_tracked"]
 
 
 @pytest.mark.parametrize("name", LEG)
