@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from tessaline.operators import retrieval
+from tessaline.operators import overlap, retrieval
 from tessaline.plans import catalog
 from tessaline.plans.analytics import _BM25
 from tessaline.runtime import shared_folder
@@ -38,7 +38,7 @@ def moved(spark):
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) + sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
 
 
-NAMES = ["r08_layers", "m09_ablation"]
+NAMES = ["r08_layers", "m09_ablation", "m01_hits_at"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -73,3 +73,12 @@ def test_no_documents_and_no_questions(spark):
     docs, asked = spark.createDataFrame([], "doc_id string, text string"), spark.createDataFrame([(1, "a b")], "query_id long, query_text string")
     assert retrieval.bm25(docs, asked).count() == 0
     assert retrieval.bm25(spark.createDataFrame([("d", "a")], "doc_id string, text string"), asked.limit(0)).count() == 0
+
+
+def test_judged_in_blocks_equals_where_they_lie(spark, monkeypatch):
+    left = spark.range(30).selectExpr("id as l", "array(concat('w', id % 5), concat('x', id % 3), 'all') as a")
+    right = spark.range(90).selectExpr("id as r", "array(concat('w', id % 5), concat('x', id % 4), 'some') as b")
+    both = lambda: {(x.l, x.n) for x in overlap.dice_counts(left, right, "l", "r", 0.6).collect()}, lambda: {(x.l, x.r) for x in overlap.dice_pairs(left, right, "l", "r", 0.6).collect()}
+    want = [f() for f in both]
+    monkeypatch.setattr(overlap, "SENT_WORDS", 0)
+    assert [f() for f in both] == want and all(want)
