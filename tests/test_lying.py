@@ -38,7 +38,7 @@ def moved(spark):
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) + sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
 
 
-NAMES = ["r08_layers", "m09_ablation", "m01_hits_at", "r06_bm25_fields", "r28_tracked", "r13_linguistic_boost", "w11_rank_of_gold", "r11_companions", "r12_frozen_anchors", "j12_boosted_inside", "r02_lexical_filtered", "j01_fused_lists", "r07_dynamic_fusion"]
+NAMES = ["r08_layers", "m09_ablation", "m01_hits_at", "r06_bm25_fields", "r28_tracked", "r13_linguistic_boost", "w11_rank_of_gold", "r11_companions", "r12_frozen_anchors", "j12_boosted_inside", "r02_lexical_filtered", "j01_fused_lists", "r07_dynamic_fusion", "k04_paged_recall"]
 
 
 @pytest.mark.parametrize("name", NAMES)
